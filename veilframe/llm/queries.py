@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, secrets
 from .decontaminate import leaks
 from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
+from .token_files import read_tokens, write_tokens
 
 #: Where the public vocabularies lie; the driver reads them and ships their bytes.
 TOKENIZERS = os.environ.get("VEILFRAME_TOKENIZERS", "/opt/tokenizers")
@@ -33,11 +34,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    with open(f"{tokenizers}/byte_bpe_50k.json", encoding="utf-8") as f:
+        model = f.read()
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), model, end_id=0))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=35)
 
 
-QUERIES = (op2_byte_bpe, op3_decontaminate, op4_near_dedup, op9_substring_dedup)
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op2_byte_bpe, op3_decontaminate, op4_near_dedup, op7_token_files, op9_substring_dedup, op10_secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
