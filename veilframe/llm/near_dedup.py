@@ -6,19 +6,20 @@ signature, and with probability 1/threshold - 1 a second, and deals its document
 minwise token there. Nodes with few documents are compared exhaustively on small sketches; large
 ones go on branching. Candidates are confirmed on the full shingle sets, never on sketches.
 
-A node that stays large after many levels holds documents much alike. There each document is tried
-against the node's first one; nodes that these links don't join go on branching, with documents of
-one component never compared again. So a group of thousands of copies costs a row per copy and
-tree and not a row per pair, and only pairs that can still join two components are confirmed.
+A node that stays large holds documents much alike. There each document is tried against about 64
+sampled ones, by its two best sketches. Where these links leave a node in several components, the
+documents outside its largest one meet all of the node in blocks of about 64; nodes with too many
+of them branch on first. So a group of thousands of copies costs rows by copy, tree and block, never
+by pair, and only pairs that can still join two components are confirmed.
 """
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, components, mix, rolling, words, written
@@ -27,7 +28,9 @@ WIDTH = 64  # coordinates of the signature that trees branch on
 SKETCH = 128  # coordinates of the sketch, 4 bits each
 TREES = 12
 LEAF = 16  # documents of a node compared exhaustively
-LEVELS = 3  # before large nodes are first tried by their first document
+LEVELS = 3  # before large nodes are tried by sampled documents
+BLOCK = 64  # sampled documents, or those outside the largest component, that a row meets at once
+STRAYS = 1024  # outside the largest component; a node with more branches on
 DEEPEST = 24
 _A = (np.random.default_rng(4).integers(1, 2**63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = np.random.default_rng(5).integers(0, 2**63, SKETCH, dtype=np.uint64)
@@ -155,16 +158,34 @@ def _compare(percent: int, first: bool):
     return run
 
 
-def _alike(percent: int):
-    """Pairs with both sketches and sizes to those that may be links."""
+def _against(percent: int, best: int | None):
+    """Rows of rep, n, comp, sketch and others (an array of the same) to candidate pairs: for each row its `best` most alike others, or all alike ones of another component."""
     least = _agreeing(percent / 100)
 
     def run(batches):
         for b in batches:
-            if len(b):
-                ok = (_nibbles(b.column(2).to_pylist()) == _nibbles(b.column(3).to_pylist())).sum(axis=1) >= least
-                ok &= _possible(b.column(4).to_numpy(), b.column(5).to_numpy(), percent)
-                yield b.select([0, 1]).filter(pa.array(ok))
+            others: dict[int, tuple] = {}
+            bits = _nibbles(b.column(3).to_pylist()) if len(b) else None
+            us, vs = [], []
+            lists = b.column(4)
+            for i in range(len(b)):
+                there = lists[i]
+                key = (len(there), there.values[0].as_py()["rep"], b.column(5)[i].as_py()) if len(there) else None
+                if key is None:
+                    continue
+                if key not in others:
+                    d = there.as_py()
+                    others = {key: (*(np.array([x[c] for x in d], np.int64) for c in ("rep", "n", "comp")), _nibbles([x["sketch"] for x in d]))}
+                reps, n, comp, theirs = others[key]
+                rep, size, own = (b.column(c)[i].as_py() for c in range(3))
+                equal = (theirs == bits[i]).sum(axis=1)
+                ok = np.flatnonzero((equal >= least) & _possible(n, size, percent) & (reps != rep) & ((comp != own) | (best is not None)))
+                if best is not None:
+                    ok = ok[np.lexsort((reps[ok], -equal[ok]))][:best]
+                us.append(np.full(len(ok), rep)), vs.append(reps[ok])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     return run
 
@@ -194,7 +215,6 @@ def _links(percent: int):
 
 def _sized(front: DataFrame) -> DataFrame:
     """(node, rep, c): rows of nodes with company."""
-    front = written(front, "front")
     size = front.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
     return written(front.join(size, "node"), "sized")
 
@@ -208,60 +228,68 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     is returned); a null doc_id takes part in nothing: component_id null, kept true. An empty table
     gives an empty result. Links at exactly the threshold are met with a chance over 0.999.
     """
-    spark: SparkSession = docs.sparkSession
     second = 100 / percent - 1
     feats = written(docs.select("doc_id", "text").mapInArrow(_features(k), "doc_id long, n long, key binary, sig binary, sketch binary"), "features")
     known = feats.where("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
     member = known.select("doc_id", "key").distinct().join(classes, "key").select("doc_id", "rep")
     reps = written(known.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("rep"), "n", "sig", "sketch"), "reps")
-    small, level = None, _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long"))
-    for _ in range(LEVELS - 1):
-        few = level.where(F.col("c") <= LEAF).select("node", "rep")
-        small = few if small is None else small.unionByName(few)
-        level = _sized(level.where(F.col("c") > LEAF).select("node", "rep").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig").mapInArrow(_branch(second), "node long, rep long"))
-    small = small.unionByName(level.where(F.col("c") <= LEAF).select("node", "rep"))
-    large = level.where(F.col("c") > LEAF).select("node", "rep")
+    sketches = reps.select("rep", "n", "sketch")
+    pairs, entry = "u long, v long", F.struct("rep", "n", "comp", "sketch")
+
+    def branched(level: DataFrame) -> DataFrame:
+        rows = level.select("node", "rep").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig")
+        return _sized(written(rows.mapInArrow(_branch(second), "node long, rep long"), "front"))
+
+    def marked(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """Node rows with size, component (before any link the document itself) and sketch."""
+        rows = nodes.join(sketches, "rep")
+        return rows.withColumn("comp", F.col("rep")) if comp is None else rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
     def grouped(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
         """Small nodes as arrays of at most LEAF documents; with comp only those of two components or more."""
-        rows = nodes.join(reps.select("rep", "n", "sketch"), "rep")
-        rows = rows.withColumn("comp", F.col("rep")) if comp is None else rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        out = rows.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "comp", "sketch")).alias("docs"))
+        out = marked(nodes, comp).groupBy("node").agg(F.collect_list(entry).alias("docs"))
         return out.where(F.size(F.array_distinct("docs.comp")) > 1).select("docs")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def met(rows: DataFrame, some: DataFrame, blocks: Column, best: int | None) -> DataFrame:
+        """Rows of nodes against those of `some` rows of the same node that fall in each of its blocks, which hold about BLOCK."""
+        lists = some.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), blocks)).groupBy("node", "block").agg(F.collect_list(entry).alias("others"))
+        return rows.select("node", *"rep n comp sketch".split()).join(lists, "node").select("rep", "n", "comp", "sketch", "others", "node").mapInArrow(_against(percent, best), pairs)
+
+    def confirmed(found: DataFrame, name: str) -> DataFrame:
         """Pairs that are links on the full sets, which are made once for each document in a pair."""
-        pairs = written(pairs.distinct(), f"{name}-pairs")
-        ends = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct()
+        found = written(found.distinct(), f"{name}-pairs")
+        ends = found.select(F.col("u").alias("rep")).unionByName(found.select(F.col("v").alias("rep"))).distinct()
         texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi")
         sets = written(texts.mapInArrow(_sets(k), "rep long, shingles binary"), f"{name}-sets")
-        full = pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y")), "v")
-        return written(full.select("u", "v", "x", "y").mapInArrow(_links(percent), "u long, v long"), f"{name}-links")
-
-    def tried(nodes: DataFrame) -> DataFrame:
-        """Each document of a large node with the node's first, where their sketches agree."""
-        first = nodes.groupBy("node").agg(F.min("rep").alias("v"))
-        pairs = nodes.withColumnRenamed("rep", "u").join(first, "node").where("u <> v").select("u", "v").distinct()
-        pairs = pairs.join(reps.select(F.col("rep").alias("u"), F.col("sketch").alias("x"), F.col("n").alias("p")), "u").join(reps.select(F.col("rep").alias("v"), F.col("sketch").alias("y"), F.col("n").alias("q")), "v")
-        return pairs.select("u", "v", "x", "y", "p", "q").mapInArrow(_alike(percent), "u long, v long")
-
-    ones = grouped(small, None).mapInArrow(_compare(percent, True), "u long, v long")
-    ones = ones.groupBy("u").agg(F.min("v").alias("v"))
-    links = confirmed(ones.unionByName(tried(large)), "first")
-    comp = components(links, "stars").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    comp = written(comp, "comp")
-    more = grouped(small, comp).mapInArrow(_compare(percent, False), "u long, v long")
-    for depth in itertools.count(LEVELS):
-        at = large.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        open_ = at.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("node")
-        large = large.join(open_, "node", "left_semi")
-        if depth >= DEEPEST or large.isEmpty():
+        full = found.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y")), "v")
+        return written(full.select("u", "v", "x", "y").mapInArrow(_links(percent), pairs), f"{name}-links")
+
+    level, small = _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long")), []
+    for _ in range(LEVELS - 1):
+        small.append(level.where(F.col("c") <= LEAF))
+        level = branched(level.where(F.col("c") > LEAF))
+    small = reduce(DataFrame.unionByName, [*small, level.where(F.col("c") <= LEAF)]).select("node", "rep")
+    large = level.where(F.col("c") > LEAF)
+
+    least = grouped(small, None).mapInArrow(_compare(percent, True), pairs).groupBy("u").agg(F.min("v").alias("v"))
+    rows = marked(large, None)
+    sampled = rows.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / BLOCK)) == 0)
+    links = confirmed(least.unionByName(met(rows, sampled, F.lit(1), 2)), "first")
+    comp = written(components(links, "stars").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comp")
+    more, depth = grouped(small, comp).mapInArrow(_compare(percent, False), pairs), LEVELS
+    while True:
+        rows = written(marked(large, comp), "large")
+        kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("strays")).where("strays > 0")
+        rows = written(rows.join(kinds, "node"), "open")
+        now = rows if depth >= DEEPEST else rows.where(F.col("strays") <= STRAYS)
+        more = more.unionByName(met(now, now.where("comp <> most"), F.ceil(F.col("strays") / BLOCK), None))
+        rest = rows.where(F.col("strays") > STRAYS)
+        if depth >= DEEPEST or rest.isEmpty():
             break
-        level = _sized(large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig").mapInArrow(_branch(second), "node long, rep long"))
-        more = more.unionByName(grouped(level.where(F.col("c") <= LEAF).select("node", "rep"), comp).mapInArrow(_compare(percent, False), "u long, v long"))
-        large = level.where(F.col("c") > LEAF).select("node", "rep")
-    more = more.unionByName(tried(large))
+        level, depth = branched(rest), depth + 1
+        more = more.unionByName(grouped(level.where(F.col("c") <= LEAF).select("node", "rep"), comp).mapInArrow(_compare(percent, False), pairs))
+        large = level.where(F.col("c") > LEAF)
     links = links.unionByName(confirmed(more, "second"))
     comp = components(links, "final").withColumnRenamed("node", "rep")
     # A document with several rows of different text belongs to several classes: its rows join them.
