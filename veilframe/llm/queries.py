@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets
+from . import bpe, html_extract, language, quality_rules, secrets
 from .decontaminate import leaks
 from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
@@ -34,12 +34,25 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, *quality_rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     with open(f"{tokenizers}/byte_bpe_50k.json", encoding="utf-8") as f:
         model = f.read()
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), model, end_id=0))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_all(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=35)
 
@@ -48,7 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_byte_bpe, op3_decontaminate, op4_near_dedup, op7_token_files, op9_substring_dedup, op10_secrets)
+QUERIES = (op2_byte_bpe, op3_decontaminate, op4_near_dedup, op5_quality_rules, op6_html_extract, op7_token_files, op8_language, op9_substring_dedup, op10_secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
