@@ -170,6 +170,28 @@ def _search(items: list[tuple[int, str]], rate: float, q: int):
     return run
 
 
+def _filter(items: list[tuple[int, str]], rate: float, q: int, at: int):
+    made: list[Index] = []
+
+    def run(batches):
+        if not made:
+            made.append(Index(items, rate, q))
+        for b in batches:
+            yield b.filter(pa.array([not made[0].matches(codes(normal(t.as_py()))) for t in b.column(at)], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, q: int):
+    """The items as lists of (item_id, normalised text), BLOCK_CHARS or so at a time."""
+    own = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
+    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = math.ceil(chars / BLOCK_CHARS) or 1
+    for i in range(blocks):
+        block = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
+        yield [(x, n) for x, t in block.collect() if len(n := normal(t)) >= q]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = Q) -> DataFrame:
     """One row for each copy of a benchmark item in a document: doc_id, item_id, start, end, edits.
 
@@ -178,13 +200,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = Q)
     items each give rows of their own; empty tables an empty result. Rows with a null doc_id or
     item_id are searched like others.
     """
-    own = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
-    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = math.ceil(chars / BLOCK_CHARS) or 1
     out = None
-    for i in range(blocks):
-        block = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        items = [(x, n) for x, t in block.collect() if len(n := normal(t)) >= q]
+    for items in _blocks(benchmark, q):
         made = docs.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(_search(items, rate, q), "doc_id long, item_id long, start long, end long, edits long")
         out = made if out is None else out.unionByName(made)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = Q) -> DataFrame:
+    """The rows of docs whose text holds no copy of a benchmark item, as leaks() finds them; all columns stay. Null texts stay."""
+    at = docs.columns.index("text")
+    for items in _blocks(benchmark, q):
+        docs = docs.mapInArrow(_filter(items, rate, q, at), docs.schema)
+    return docs

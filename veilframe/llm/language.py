@@ -156,8 +156,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     A null text, or one without a letter, is `und` with score 0, as is every text where there are no
     prototypes. Only the text is looked at.
     """
-    names = sorted(prototypes)
-    unit = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-9) for n in names]).reshape(len(names), SIZE)
+    names, unit = _names(prototypes)
 
     def run(batches):
         for b in batches:
@@ -169,6 +168,25 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def _names(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    names = sorted(prototypes)
+    return names, np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-9) for n in names]).reshape(len(names), SIZE)
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of docs whose text identify() gives a language; `und` rows go. All columns stay."""
+    names, unit = _names(prototypes)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
+                yield part.filter(pa.array([x != "und" for x, _ in predict_texts(part.column(at).to_pylist(), names, unit)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text leaves 2 when divided by 4; a null id is neither held out nor learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, language, quality_rules, secrets
+from . import bpe, chat_quotes, html_extract, language, quality_rules, secrets
 from .decontaminate import leaks
 from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     ranks = bpe.read_ranks(f"{tokenizers}/byte_bpe_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks)
@@ -61,7 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_byte_bpe, op3_decontaminate, op4_near_dedup, op5_quality_rules, op6_html_extract, op7_token_files, op8_language, op9_substring_dedup, op10_secrets)
+QUERIES = (op1_chat_quotes, op2_byte_bpe, op3_decontaminate, op4_near_dedup, op5_quality_rules, op6_html_extract, op7_token_files, op8_language, op9_substring_dedup, op10_secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_quotes": chat_quotes.ORACLE}
