@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.ids import permuted, unrank
 from veilframe.functions.text import strip
+from veilframe.operators.keep import kept
 
 
 def keys(mapping: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def assign(arrivals: DataFrame, mapping: DataFrame, secret: str) -> DataFrame:
     """
     asked = arrivals.select(strip("key").alias("key"), "name", "first_seen").where("key <> ''")
     asked = asked.groupBy("key").agg(F.min_by("name", F.struct("first_seen", "name")).alias("name"), F.min("first_seen").alias("first_seen"))
-    have = keys(mapping)
+    asked, have = kept(asked), kept(keys(mapping))
     old = asked.join(have, "key").select(F.lit(None).cast("long").alias("s_no"), "key", "anon_id", "name", F.lit(False).alias("is_new"))
     new = numbered(asked.join(have, "key", "left_anti"), F.struct("first_seen", "key"))
     rows = mapping.count()
@@ -48,13 +49,11 @@ def numbered(rows: DataFrame, order: Column) -> DataFrame:
     """rows with n, 1 and up by order, without gathering them: counts by range partition, then places within."""
     dealt = rows.select("*", order.alias("__o")).repartitionByRange(F.col("__o")).withColumn("__p", F.spark_partition_id())
     dealt = dealt.sortWithinPartitions("__o")
-    spark = rows.sparkSession
-    # Partition ids must not be dealt anew between the two uses: written where there is a shared folder, cached else.
-    kept = dealt.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else dealt.persist()
-    sizes = kept.groupBy("__p").agg(F.count("*").alias("__k"))
+    dealt = kept(dealt)  # partition ids must not be dealt anew between the two uses
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__k"))
     before = sizes.select("__p", (F.sum("__k").over(Window.orderBy("__p")) - F.col("__k")).alias("__b"))  # a row a partition
     own = Window.partitionBy("__p").orderBy("__o")
-    return kept.join(F.broadcast(before), "__p").withColumn("n", F.row_number().over(own) + F.col("__b")).drop("__o", "__p", "__b")
+    return dealt.join(F.broadcast(before), "__p").withColumn("n", F.row_number().over(own) + F.col("__b")).drop("__o", "__p", "__b")
 
 
 def describe(mapping: DataFrame) -> DataFrame:
