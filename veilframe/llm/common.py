@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +31,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/veilframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it back. Lost executors cost only a reread."""
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, records: int = 2000) -> DataFrame:
+    """Cut lineage: write df as Parquet to the shared folder and read it back. Lost executors cost only a reread.
+
+    While it is written, Python workers get at most so many records at once: rows hold whole texts or sets.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_RECORDS)
+    spark.conf.set(_RECORDS, str(min(records, int(before)) if int(before) > 0 else records))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_RECORDS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi")
         sets = written(texts.mapInArrow(_sets(k), "rep long, shingles binary"), f"{name}-sets")
         full = found.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y")), "v")
-        return written(full.select("u", "v", "x", "y").mapInArrow(_links(percent), pairs), f"{name}-links")
+        return written(full.select("u", "v", "x", "y").mapInArrow(_links(percent), pairs), f"{name}-links", records=256)
 
     level, small = _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long")), []
     for _ in range(LEVELS - 1):
