@@ -9,7 +9,9 @@ one packed string, their words joined by a space. Two windows of one packed stri
 Minimisers that occur once in the corpus are let go on hashes alone before any string is packed.
 Equal packed strings are summed before they are dealt out; in a bucket with one string that occurs
 twice or more every window repeats, and only buckets with several strings are taken apart into
-windows, which a sorted aggregate counts as exact strings. No bucket is ever gathered in one task.
+windows: sorted within their task where they hold at most KINDS different strings, else dealt out as
+rows and counted by a sorted aggregate. Both compare whole strings, and no bucket of unbounded size
+is gathered in one task.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, rolling, words, written
 
 MINIMISER = 12
+KINDS = 512  # different packed strings of a bucket that one task takes apart
 _HASH = WordHash()
 
 
@@ -77,6 +80,48 @@ def _pack(width: int):
     return run
 
 
+def _sorted_counts(width: int):
+    """Rows of h, packed, n, key, all of a bucket together, to h, key and the offsets of windows that start twice or more in the bucket."""
+
+    def repeats(rows: list[tuple]):
+        windows = []
+        for i, (_, packed, n, _) in enumerate(rows):
+            w = packed.split(b" ")
+            windows += [(b" ".join(w[j : j + width]), n, i, j) for j in range(len(w) - width + 1)]
+        windows.sort()
+        offs: list[list[int]] = [[] for _ in rows]
+        at = 0
+        while at < len(windows):
+            end, times = at, 0
+            while end < len(windows) and windows[end][0] == windows[at][0]:
+                times += windows[end][1]
+                end += 1
+            if times > 1:
+                for _, _, i, j in windows[at:end]:
+                    offs[i].append(j)
+            at = end
+        return [(h, key, o) for (h, _, _, key), o in zip(rows, offs) if o]
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        h, key, offs = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(key, pa.binary()), pa.array(offs, pa.list_(pa.int32()))], names=["h", "key", "offs"])
+
+    def run(batches):
+        group: list[tuple] = []
+        for b in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if group and group[0][0] != row[0]:
+                    found += repeats(group)
+                    group = []
+                group.append(row)
+            yield batch(found)
+        if group:
+            yield batch(repeats(group))
+
+    return run
+
+
 def _kept(width: int):
     """doc_id, text, window starts (or null) to the contract's columns, and the row's kept text."""
 
@@ -128,10 +173,12 @@ def repeated_windows(docs: DataFrame, width: int = 50, m: int = MINIMISER) -> tu
     kinds = kinds.join(of, "h")
     whole = kinds.where("kinds = 1 AND n > 1").select("h", "key", F.expr("sequence(0, c - 1)").alias("offs"))
     w = F.split(F.col("packed").cast("string"), " ", -1)
-    windows = kinds.where("kinds > 1").select("h", "key", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.array_join(F.slice(w, i, width), " "))).alias("off", "window"))
+    few = kinds.where(f"kinds BETWEEN 2 AND {KINDS}").select("h", "packed", "n", "key").repartition("h").sortWithinPartitions("h")
+    few = few.mapInArrow(_sorted_counts(width), "h long, key binary, offs array<int>")
+    windows = kinds.where(f"kinds > {KINDS}").select("h", "key", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.array_join(F.slice(w, i, width), " "))).alias("off", "window"))
     sums = windows.groupBy("h", "window").agg(F.sum("n").alias("times")).where("times > 1").select("h", "window")
     parts = windows.join(sums, ["h", "window"]).groupBy("h", "key").agg(F.collect_set("off").alias("offs"))
-    verdict = whole.unionByName(parts)
+    verdict = whole.unionByName(few).unionByName(parts)
     places = packs.select("h", digest, "doc_id", "row_key", "at").join(verdict, ["h", "key"])
     starts = places.select("doc_id", "row_key", F.explode(F.transform("offs", lambda x: x + F.col("at"))).alias("start"))
     starts = starts.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
