@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 import tempfile
+from collections.abc import Callable
 
 import duckdb
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 LONG = 64
 PIECES = 20_000  # a query's
-CACHED = 400_000
+CACHED = 200_000
 
 #: The split pattern of the public vocabulary, and what its classes hold below U+0100.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,6 +95,29 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+class PieceCache:
+    """Bytes of pieces, in two generations: what the older one holds and is asked for again moves to the newer."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = CACHED) -> None:
+        self.make, self.most, self.now, self.old = make, most, {}, {}
+
+    def join(self, lists: list[list[str]]) -> list[bytes]:
+        """The bytes of each list's pieces, joined."""
+        need = set().union(*lists)
+        new = need.difference(self.now)
+        if len(self.now) + len(new) > self.most:
+            self.now, self.old, new = {}, self.now, need
+        missing = []
+        for x in new:
+            if (found := self.old.get(x)) is None:
+                missing.append(x)
+            else:
+                self.now[x] = found
+        self.now.update(zip(missing, self.make(missing)))
+        get = self.now.__getitem__
+        return [b"".join(map(get, x)) for x in lists]
+
+
 class Codec:
     """A vocabulary of ranks in DuckDB."""
 
@@ -115,7 +139,7 @@ class Codec:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
         self._table("merges", {"k": (left << 32) | right, "m": made.astype(np.int32), "tame": ~np.isin(made, wild)})
         self._table("vocab", {"id": np.array(list(self.ranks.values()), np.int32), "b": pa.array(list(self.ranks), pa.binary())})
-        self.cache: dict[str, bytes] = {}
+        self.cache = PieceCache(lambda new: self.pieces([x.encode("utf-8") for x in new]))
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -151,18 +175,16 @@ class Codec:
         at = np.arange(n, dtype=np.int32)
         rows = {"w": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "p": at, "np": at + np.int32(1), "t": t, "nt": rest}
         made = self._query("tk", rows, sql)
-        for w, ids in zip(made["w"].to_pylist(), made["ids"].to_pylist()):
-            out[some[w][0]] = np.array(ids, "<u4").tobytes()
+        for batch in made.to_batches():
+            lists = batch.column("ids")
+            raw = lists.values.to_numpy().astype("<u4").tobytes()
+            at = (lists.offsets.to_numpy() * 4).tolist()
+            for w, i, j in zip(batch.column("w").to_pylist(), at, at[1:]):
+                out[some[w][0]] = raw[i:j]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         lists = [self.split(t) if t else [] for t in texts]
-        new = list(set().union(*lists).difference(self.cache))
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = list(set().union(*lists))
-        self.cache.update(zip(new, self.pieces([x.encode("utf-8") for x in new])))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        return self.cache.join(lists)
 
     def decode(self, docs: list[bytes]) -> list[bytes]:
         """The bytes of each document's ids, joined in order."""

@@ -18,8 +18,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _slices, splitter
+from .bpe import PieceCache, _slices, splitter
 from .common import mix, new_folder, written
 
 GAMMA = 2  # bits a key of a level
 BUCKET = 50_000  # keys of an index file, about
-CACHED = 400_000
 _MAGIC = b"VFMPH1\0\0"
 
 
@@ -140,19 +141,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.split, self.kind, self.cache = splitter(), f"<u{width}", {}
+        self.split, self.kind = splitter(), {2: "H", 4: "I"}[width]
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets, where there is such a call
+        self.cache = PieceCache(self.pieces)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        lists = [self.split(t) if t else [] for t in texts]
-        new = list(set().union(*lists).difference(self.cache))
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = list(set().union(*lists))
+    def pieces(self, new: list[str]) -> list[bytes]:
+        out = []
         for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            self.cache.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+            for e in self.batch(new[at : at + 5000], add_special_tokens=False):
+                ids = array(self.kind, e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                out.append(ids.tobytes())
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self.cache.join([self.split(t) if t else [] for t in texts])
 
 
 def _writer(folder: str, model: str, end_id: int, width: int):
