@@ -170,9 +170,9 @@ def repeated_windows(docs: DataFrame, width: int = 50, m: int = MINIMISER) -> tu
     digest = F.unhex(F.sha2("packed", 256)).alias("key")
     kinds = written(packs.groupBy("h", "packed").agg(F.count("*").alias("n"), F.min("c").alias("c")).select("h", "packed", "n", "c", digest), "packed")
     of = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(of, "h")
-    whole = kinds.where("kinds = 1 AND n > 1").select("h", "key", F.expr("sequence(0, c - 1)").alias("offs"))
+    whole = kinds.where("n > 1").select("h", "key", "c").join(of.where("kinds = 1"), "h").select("h", "key", F.expr("sequence(0, c - 1)").alias("offs"))
     w = F.split(F.col("packed").cast("string"), " ", -1)
+    kinds = written(kinds.join(of.where("kinds > 1"), "h"), "several")
     few = kinds.where(f"kinds BETWEEN 2 AND {KINDS}").select("h", "packed", "n", "key").repartition("h").sortWithinPartitions("h")
     few = few.mapInArrow(_sorted_counts(width), "h long, key binary, offs array<int>")
     windows = kinds.where(f"kinds > {KINDS}").select("h", "key", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.array_join(F.slice(w, i, width), " "))).alias("off", "window"))
