@@ -9,7 +9,6 @@ All sums are of integers, so results don't depend on how rows are dealt out.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
