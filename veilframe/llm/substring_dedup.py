@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, rolling, words, written
 
 MINIMISER = 12
-KINDS = 512  # different packed strings of a bucket that one task takes apart
+KINDS = 4096  # different packed strings of a bucket that one task takes apart; with 24 windows each under 50 MB
 _HASH = WordHash()
 
 
