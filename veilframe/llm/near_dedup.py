@@ -8,9 +8,12 @@ ones go on branching. Candidates are confirmed on the full shingle sets, never o
 
 A node that stays large holds documents much alike. There each document is tried against about 64
 sampled ones, by its two best sketches. Where these links leave a node in several components, the
-documents outside its largest one meet all of the node in blocks of about 64; nodes with too many
-of them branch on first. So a group of thousands of copies costs rows by copy, tree and block, never
-by pair, and only pairs that can still join two components are confirmed.
+documents outside its largest one meet all of the node in blocks of about 64. Branching on would
+lose pairs with depth, so the documents of nodes with too many outside are dealt out by their rarest
+shingles instead: two sets at the threshold always share one of those (prefix filter), and only
+documents that share one meet, in blocks again. That is exact; it costs rows by block where thousands
+of unlinked documents have a rare shingle in common. Only pairs that can still join two components
+are confirmed.
 """
 
 from __future__ import annotations
@@ -30,8 +33,7 @@ TREES = 12
 LEAF = 16  # documents of a node compared exhaustively
 LEVELS = 3  # before large nodes are tried by sampled documents
 BLOCK = 64  # sampled documents, or those outside the largest component, that a row meets at once
-STRAYS = 1024  # outside the largest component; a node with more branches on
-DEEPEST = 24
+STRAYS = 1024  # outside the largest component; documents of a node with more are dealt out by rare shingles
 _A = (np.random.default_rng(4).integers(1, 2**63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = np.random.default_rng(5).integers(0, 2**63, SKETCH, dtype=np.uint64)
 _HASH = WordHash()
@@ -175,7 +177,9 @@ def _against(percent: int, best: int | None):
                     continue
                 if key not in others:
                     d = there.as_py()
-                    others = {key: (*(np.array([x[c] for x in d], np.int64) for c in ("rep", "n", "comp")), _nibbles([x["sketch"] for x in d]))}
+                    if len(others) >= 64 or next(iter(others), key)[2] != key[2]:
+                        others.clear()
+                    others[key] = (*(np.array([x[c] for x in d], np.int64) for c in ("rep", "n", "comp")), _nibbles([x["sketch"] for x in d]))
                 reps, n, comp, theirs = others[key]
                 rep, size, own = (b.column(c)[i].as_py() for c in range(3))
                 equal = (theirs == bits[i]).sum(axis=1)
@@ -200,6 +204,21 @@ def _sets(k: int):
     return run
 
 
+def _shingles(k: int):
+    """Rows of rep, part and text to a row for each shingle, with the size of its set."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 64):
+                part = b.slice(at, 64)
+                sets = [shingle_set(t.as_py(), k) for t in part.column(2)]
+                n = np.array([len(s) for s in sets], np.int64)
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "part", "n", "node"])
+
+    return run
+
+
 def _links(percent: int):
     def run(batches):
         for b in batches:
@@ -226,7 +245,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     component_id is the least doc_id reachable over links, kept is doc_id = component_id. Null or
     wordless texts have no shingles and no links. Rows with one doc_id are one document (each row
     is returned); a null doc_id takes part in nothing: component_id null, kept true. An empty table
-    gives an empty result. Links at exactly the threshold are met with a chance over 0.999.
+    gives an empty result. Links at exactly the threshold are met with a chance over 0.999
+    whatever the size of their nodes: a pair is lost by the trees' first levels or by its sketches.
     """
     second = 100 / percent - 1
     feats = written(docs.select("doc_id", "text").mapInArrow(_features(k), "doc_id long, n long, key binary, sig binary, sketch binary"), "features")
@@ -265,6 +285,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         full = found.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y")), "v")
         return written(full.select("u", "v", "x", "y").mapInArrow(_links(percent), pairs), f"{name}-links", records=256)
 
+    def rare(rest: DataFrame, comp: DataFrame) -> DataFrame:
+        """Alike pairs of two components by rare shingles.
+
+        In an order of all shingles, rarest first, the larger set of a pair at the threshold shares one of its first `probe` with the first `held` of the smaller one.
+        Shingles of one document come first and are only counted.
+        """
+        texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("part"), "text").join(rest.select("rep").distinct(), "rep", "left_semi")
+        tokens = written(texts.mapInArrow(_shingles(k), "rep long, part long, n long, node long"), "shingles")
+        often = tokens.groupBy("node").agg(F.count("*").alias("f")).where("f > 1")
+        sets = tokens.join(often, "node").groupBy("rep", "part", "n").agg(F.sort_array(F.collect_set(F.struct("f", "node"))).alias("s"))
+        first = sets.selectExpr("rep", "s", "n - size(s) AS own", f"n - ({percent} * n + 99) div 100 + 1 AS probe", f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1 AS held")
+        first = first.selectExpr("rep", "held - own AS held", "posexplode(slice(s, 1, int(greatest(probe - own, 0)))) AS (at, x)").groupBy("rep", F.col("x.node").alias("node")).agg(F.bool_or(F.col("at") < F.col("held")).alias("held"))
+        some = first.groupBy("node").agg(F.count("*").alias("c"), F.bool_or("held").alias("any")).where("c > 1 AND any").select("node")
+        rows = written(marked(first.join(some, "node"), comp), "rare")
+        most = F.struct("k", "comp")
+        kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.count_if("held").alias("h")).groupBy("node").agg(F.max_by("comp", most).alias("most"), F.max_by("h", most).alias("inside"), (F.sum("h") - F.max_by("h", most)).alias("outside"), F.count("*").alias("comps")).where("comps > 1")
+        rows = written(rows.join(kinds, "node"), "rare-open")
+        block = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1))
+        found = met(rows, rows.where("held AND comp <> most"), block("outside"), None)
+        return found.unionByName(met(rows.where("comp <> most"), rows.where("held AND comp = most"), block("inside"), None))
+
     level, small = _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long")), []
     for _ in range(LEVELS - 1):
         small.append(level.where(F.col("c") <= LEAF))
@@ -277,19 +318,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     sampled = rows.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / BLOCK)) == 0)
     links = confirmed(least.unionByName(met(rows, sampled, F.lit(1), 2)), "first")
     comp = written(components(links, "stars").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comp")
-    more, depth = grouped(small, comp).mapInArrow(_compare(percent, False), pairs), LEVELS
-    while True:
-        rows = written(marked(large, comp), "large")
-        kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("strays")).where("strays > 0")
-        rows = written(rows.join(kinds, "node"), "open")
-        now = rows if depth >= DEEPEST else rows.where(F.col("strays") <= STRAYS)
-        more = more.unionByName(met(now, now.where("comp <> most"), F.ceil(F.col("strays") / BLOCK), None))
-        rest = rows.where(F.col("strays") > STRAYS)
-        if depth >= DEEPEST or rest.isEmpty():
-            break
-        level, depth = branched(rest), depth + 1
-        more = more.unionByName(grouped(level.where(F.col("c") <= LEAF).select("node", "rep"), comp).mapInArrow(_compare(percent, False), pairs))
-        large = level.where(F.col("c") > LEAF)
+    more = grouped(small, comp).mapInArrow(_compare(percent, False), pairs)
+    rows = written(marked(large, comp), "large")
+    kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("strays")).where("strays > 0")
+    rows = written(rows.join(kinds, "node"), "open")
+    now, rest = rows.where(F.col("strays") <= STRAYS), rows.where(F.col("strays") > STRAYS)
+    more = more.unionByName(met(now, now.where("comp <> most"), F.ceil(F.col("strays") / BLOCK), None))
+    if not rest.isEmpty():
+        more = more.unionByName(rare(rest, comp))
     links = links.unionByName(confirmed(more, "second"))
     comp = components(links, "final").withColumnRenamed("node", "rep")
     # A document with several rows of different text belongs to several classes: its rows join them.
