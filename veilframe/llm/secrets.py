@@ -1,10 +1,11 @@
 """Secret scans by a linear-chain conditional random field (operator 10).
 
 Three patterns give the base spans. The field tags tokens as secret begin, inside or outside from
-their shape, neighbouring words and features of the whole text; Viterbi decodes. Only tokens with a
-digit and eight characters or more can be begin or inside (a hard constraint of the field, in
-training as in decoding), so the chain falls into windows around such tokens that decode alone,
-with the same result as over the whole text but for words further than the features look.
+their shape, neighbouring words and features of the whole text; Viterbi decodes. Begin or inside can
+be tokens of eight characters with a digit, an inner capital or a hint and "=" before a value, tokens
+of twenty characters, and tokens of six within three after a hint word (a hard constraint of the
+field, in training as in decoding). All others are outside, so each run of such tokens, of any
+length, decodes alone with the same result as over the whole text.
 
 The field is trained on the driver from generated lines: secrets of many makes, and addresses,
 numbers, versions, dates, paths and identifiers that are none. Its weights, a few hundred numbers,
@@ -35,10 +36,7 @@ _LIKELY = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 _CHARS = "A-Za-z0-9+/_.=-"
 _TOKEN = re.compile(rf"[{_CHARS}]+|[^\s{_CHARS}]")
-_RUN = re.compile(rf"[{_CHARS}]*\Z")
-_RUN_ON = re.compile(rf"[{_CHARS}]*")
-_DIGITS = re.compile(r"[0-9]+")
-_HINTS = frozenset("password passwd pwd pass secret token key apikey api_key auth authorization bearer credential credentials private access client_secret aws".split())
+_HINTS = frozenset("password passwd pwd pass secret token passphrase key apikey api_key auth authorization bearer credential credentials private access client_secret aws".split())
 CONTEXT = 3  # tokens to each side that features look at
 B, I, O = range(3)  # noqa: E741
 
@@ -51,8 +49,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def may_be_secret(token: str) -> bool:
-    return len(token) >= 8 and any(c.isdigit() and c.isascii() for c in token) and token[0] not in "./"
+def hinted(token: str) -> bool:
+    """Whether a token is a hint word or has one as a part."""
+    word = token.lower()
+    return word in _HINTS or not _HINTS.isdisjoint(re.split(r"[_.-]", word))
+
+
+def assigns(token: str) -> bool:
+    """Whether a token is a hint word, "=" and a value."""
+    name, equals, value = token.partition("=")
+    return bool(equals) and len(value) >= 4 and hinted(name)
+
+
+_SHAPED, _HINT, _AFTER = 1, 2, 4
+
+
+class _Flags(dict):
+    """By token: may be secret by its shape, is a hint, may be secret after a hint."""
+
+    def __missing__(self, token: str) -> int:
+        n = len(token)
+        out = _HINT if hinted(token) else 0
+        if n >= 20 or (n >= 8 and (re.search(r"[0-9]|[a-z][A-Z]", token) or assigns(token))):
+            out |= _SHAPED
+        if n >= 6:
+            out |= _AFTER
+        if len(self) >= 200_000:
+            self.clear()
+        self[token] = out
+        return out
+
+
+_FLAGS = _Flags()
+
+
+def may_be_secret(tokens: list[str]) -> list[int]:
+    """Places, in order, of the tokens that can be begin or inside."""
+    flags, out = list(map(_FLAGS.__getitem__, tokens)), set()
+    for i, f in enumerate(flags):
+        if f & _SHAPED:
+            out.add(i)
+        if f & _HINT:
+            out.update(j for j in range(i + 1, min(i + 1 + CONTEXT, len(flags))) if flags[j] & _AFTER)
+    return sorted(out)
 
 
 def shape(token: str) -> list[str]:
@@ -62,23 +101,22 @@ def shape(token: str) -> list[str]:
     up, low, dig = (sum(map(f, token)) for f in (str.isupper, str.islower, str.isdigit))
     kinds = ["A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in token]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    out = [f"len{min(n // 8, 6)}", f"ent{int(min(entropy, 5) * 2)}", f"turn{min(5, int(8 * turns / n))}", f"dig{int(4 * dig / n)}"]
-    out += [name for name, yes in (("mixed", up and low), ("upper", up and not low), ("lower", low and not up), ("nodigit", not dig), ("alldigit", dig == n), ("hex", not re.search(r"[^0-9a-fA-F-]", token)), ("slash", "/" in token), ("dots", token.count(".") > 1), ("dot", "." in token), ("dashes", token.count("-") > 1), ("under", "_" in token), ("pad", token.endswith("=")), ("jwt", token.startswith("eyJ")), ("sep", not re.search(r"[A-Za-z]{2}", token))) if yes]
+    out = [f"len{min(n // 8, 6)}", f"size{min(n // 2, 10)}", f"ent{int(min(entropy, 5) * 2)}", f"turn{min(5, int(8 * turns / n))}", f"dig{int(4 * dig / n)}"]
+    out += [name for name, yes in (("mixed", up and low), ("upper", up and not low), ("lower", low and not up), ("nodigit", not dig), ("alldigit", dig == n), ("hex", not re.search(r"[^0-9a-fA-F-]", token)), ("slash", "/" in token), ("dots", token.count(".") > 1), ("dot", "." in token), ("dashes", token.count("-") > 1), ("under", "_" in token), ("pad", token.endswith("=")), ("jwt", token.startswith("eyJ")), ("inner", re.search(r"[a-z][A-Z]", token)), ("assigns", assigns(token)), ("path", token[0] in "./"), ("words", re.fullmatch(r"[a-z]+(-[a-z]+)+", token)), ("sep", not re.search(r"[A-Za-z]{2}", token))) if yes]
     return out
 
 
 def features(tokens: list[str], i: int, whole: list[str]) -> list[str]:
     """Shape of token i, words near it, and what the whole text has."""
-    out = ["bias", *shape(tokens[i])] if may_be_secret(tokens[i]) else ["bias", "plain"]
+    out = ["bias", *shape(tokens[i])]
     for d in range(1, CONTEXT + 1):
         for side, j in (("-", i - d), ("+", i + d)):
             if 0 <= j < len(tokens):
                 word = tokens[j].lower()
-                parts = {word, *re.split(r"[_.-]", word)}
-                if parts & _HINTS:
+                if _FLAGS[tokens[j]] & _HINT:
                     out.append(f"hint{side}{d}")
                 if d == 1:
-                    out.append(f"by{side}{word if len(word) == 1 and not word.isalnum() else 'w'}")
+                    out.append(f"by{side}{word if word == 'is' or len(word) == 1 and not word.isalnum() else 'w'}")
             elif d == 1:
                 out.append(f"edge{side}")
     return out + whole
@@ -99,9 +137,15 @@ def _made(rng: random.Random) -> list[tuple[list[str], list[int]]]:
             lambda: rng.choice(["ghp_", "gho_", "glpat-", "npm_", "sk-", "pk_live_", "sk_test_", "xoxb-", "hf_"]) + pick(alnum, rng.randint(20, 40)),
             lambda: "AKIA" + pick(upper + digit, 16), lambda: pick(alnum + "+/", 40), lambda: pick(digit + "abcdef", rng.choice([24, 32, 40, 64])),
             lambda: "eyJ" + pick(alnum, 30) + "." + pick(alnum + "-_", 60) + "." + pick(alnum + "-_", 40), lambda: pick(alnum, rng.randint(20, 48)), lambda: pick(alnum + "+/", 42) + "==",
-            lambda: "AIza" + pick(alnum + "-_", 35),
+            lambda: "AIza" + pick(alnum + "-_", 35), lambda: "/" + pick(alnum + "+/", 39), lambda: pick(upper + lower, rng.randint(16, 40)),
         ])()
-        return x if any(c.isdigit() for c in x) else x + rng.choice(digit)
+        return x
+    def phrase() -> str:
+        """A secret of letters that only the words before it show."""
+        return rng.choice([
+            lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 5))), lambda: "-".join(word() for _ in range(rng.randint(3, 5))), lambda: pick(lower, rng.randint(12, 20)), lambda: pick(upper + lower, rng.randint(8, 24)), lambda: word() + pick(digit, rng.randint(2, 4)),
+        ])()
+    hint = lambda: (lambda x: rng.choice([x, x, x.capitalize(), x.upper()]))(rng.choice(sorted(_HINTS)))
     def other() -> str:
         return rng.choice([
             lambda: f"{word()}.{word()}{rng.randint(1, 99)}", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
@@ -111,12 +155,20 @@ def _made(rng: random.Random) -> list[tuple[list[str], list[int]]]:
             lambda: f"{word()}{rng.randint(1,9)}{word()}.{word()}", lambda: f"+{rng.randint(10, 99)}-{pick(digit, 9)}", lambda: f"{rng.randint(1, 99)}.{pick(digit, 6)}",
         ])()
     out = []
-    for _ in range(1600):
+    for _ in range(2400):
         before = [word() for _ in range(rng.randint(3, 6))]
         after = [word() for _ in range(rng.randint(3, 6))]
         yes = rng.random() < 0.4
         lead = rng.choice([[], [rng.choice(sorted(_HINTS)), rng.choice("=:")], [rng.choice(sorted(_HINTS)), "=", '"'], ["bearer"], ['"'], ["key", "is"], [rng.choice(sorted(_HINTS))]] if yes else [[], [], ["@"], ["version"], ["("], [word(), ":"], [word(), "="], ["token"], ['"'], ["$"], ["http", ":"]])
         token = secret() if yes else other()
+        kind = rng.random()
+        if yes and kind < 0.4:
+            lead, token = rng.choice([lambda: ([], f"{hint()}={phrase()}"), lambda: ([hint(), ":"], phrase()), lambda: ([hint(), "is"], phrase()), lambda: (["Authorization", ":", "Bearer"], pick(upper + lower, rng.randint(16, 40))), lambda: ([hint(), ":", '"'], phrase()), lambda: ([], f"{hint()}={secret()}")])()
+            while len(token) < 8 or (lead[1:] == ["is"] and len(token) < 12):
+                token += pick(lower, 4)
+        elif not yes and kind < 0.5:
+            text = lambda: rng.choice([word(), pick(lower, rng.randint(6, 11)), pick(lower, rng.randint(6, 14)), f"{word()}-{word()}", word().capitalize()])
+            lead, token = rng.choice([lambda: ([hint()], text()), lambda: ([hint(), "is"], pick(lower, rng.randint(3, 10))), lambda: ([hint(), word()], text()), lambda: ([hint(), ","], text()), lambda: ([hint(), "."], text().capitalize()), lambda: ([word(), ":"], text()), lambda: ([], word().capitalize() + word().capitalize()), lambda: ([], "-" * rng.randint(20, 60)), lambda: ([], "/" + "/".join(word() for _ in range(rng.randint(2, 6)))), lambda: ([], "-".join(word() for _ in range(4))), lambda: ([], "_".join(word() for _ in range(4))), lambda: ([], ".".join(word() for _ in range(4))), lambda: ([], pick(lower, rng.randint(20, 30)))])()
         tokens = [*before, *lead, token, *(['"'] if lead and lead[-1] == '"' else []), *after]
         tags = [O] * len(tokens)
         if not yes and rng.random() < 0.3:
@@ -138,24 +190,22 @@ class Field:
     def __init__(self, names: list[str], emit: np.ndarray, move: np.ndarray) -> None:
         self.at, self.emit, self.move = {n: i for i, n in enumerate(names)}, emit, move
 
-    def scores(self, rows: list[list[str]], open_: list[bool]) -> np.ndarray:
+    def scores(self, rows: list[list[str]]) -> np.ndarray:
         s = np.zeros((len(rows), 3))
         for i, row in enumerate(rows):
             for n in row:
                 if (j := self.at.get(n)) is not None:
                     s[i] += self.emit[j]
-            if not open_[i]:
-                s[i, :2] = -1e9
         return s
 
-    def viterbi(self, s: np.ndarray) -> list[int]:
-        """The best tags; before the first token stands an outside one."""
+    def viterbi(self, s: np.ndarray, last: bool = True) -> list[int]:
+        """The best tags; before the first token stands an outside one, and, unless `last`, behind the last one."""
         best, back = self.move[O] + s[0], []
         for x in s[1:]:
             through = best[:, None] + self.move
             back.append(through.argmax(axis=0))
             best = through.max(axis=0) + x
-        tags = [int(best.argmax())]
+        tags = [int((best if last else best + self.move[:, O]).argmax())]
         for b in reversed(back):
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
@@ -176,7 +226,7 @@ def trained(seed: int = 10, rounds: int = 100) -> Field:
         for i, f in enumerate(r):
             x[k, i, [at[n] for n in f]] = 1
         real[k, : len(r)], gold[k, : len(r)] = True, tags
-        open_[k, : len(r)] = [may_be_secret(t) for t in tokens]
+        open_[k, may_be_secret(tokens)] = True
     flat = x.reshape(-1, size)
     one = np.eye(3)[gold] * real[..., None]
     emit, move = np.zeros((size, 3)), np.zeros((3, 3))
@@ -210,40 +260,29 @@ def trained(seed: int = 10, rounds: int = 100) -> Field:
 
 def crf_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the field tags as secret."""
-    seeds, end = [], 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < end:
-            continue
-        left = m.start()
-        while left > end and (c := text[left - 1]).isascii() and (c.isalnum() or c in "+/_.=-"):
-            left -= 1
-        end = _RUN_ON.match(text, m.end()).end()
-        if may_be_secret(text[left:end]):
-            seeds.append((left, end))
-    if not seeds:
+    names = _TOKEN.findall(text)
+    places = may_be_secret(names)
+    if not places:
         return []
-    whole, out, k = whole_features(text), [], 0
-    while k < len(seeds):
+    whole, tags, k = whole_features(text), {}, 0
+    while k < len(places):
         first = k
-        while k + 1 < len(seeds) and seeds[k + 1][0] - seeds[k][1] < 200 and k - first < 500:
+        while k + 1 < len(places) and places[k + 1] == places[k] + 1:
             k += 1
-        lo, hi = max(0, seeds[first][0] - 200), seeds[k][1] + 200
+        run = places[first : k + 1]
         k += 1
-        # Whole tokens: the window starts and ends at white space or at the text's ends.
-        while lo > 0 and not text[lo - 1].isspace() and lo > seeds[first][0] - 400:
-            lo -= 1
-        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, min(len(text), hi))]
-        names = [text[s:e] for s, e in tokens]
-        own = {s for s, _ in seeds[first:k]}
-        open_ = [s in own and may_be_secret(n) for (s, _), n in zip(tokens, names)]
-        tags = field.viterbi(field.scores([features(names, i, whole) for i in range(len(names))], open_))
-        for (s, e), tag in zip(tokens, tags):
-            if tag == B or tag == I:
-                e -= len(text[s:e]) - len(text[s:e].rstrip("."))
-                if tag == I and out:
-                    out[-1] = (out[-1][0], 3, e)
-                else:
-                    out.append((s, 3, e))
+        tags.update(zip(run, field.viterbi(field.scores([features(names, i, whole) for i in run]), run[-1] == len(names) - 1)))
+    if all(tag == O for tag in tags.values()):
+        return []
+    out = []
+    for i, m in enumerate(_TOKEN.finditer(text)):
+        tag = tags.get(i, O)
+        if tag != O:
+            e = m.start() + len(m[0].rstrip("."))
+            if tag == I and out:
+                out[-1] = (out[-1][0], 3, e)
+            else:
+                out.append((m.start(), 3, e))
     return out
 
 
