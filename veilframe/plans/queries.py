@@ -154,12 +154,12 @@ def anon_id_mint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_ids"), F.count_if(bad).cast("int").alias("badly_formed"))
 
 
-def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as running-text reports: names wrapped over lines, ward variants, a missing or an empty room, two pages."""
+def _reports(spark: SparkSession, sf_dir: str, key: str = "c_custkey", room_no: str = "c_nationkey") -> DataFrame:
+    """Customers as running-text reports: names wrapped over lines, ward variants, a missing or an empty room, two pages. key and room_no are SQL."""
     c = table(spark, sf_dir, "customer")
     name = F.replace("c_name", F.lit("#"), F.lit("\n  "))
-    head = F.concat(F.lit("Department of Biochemistry\nCR No : "), "c_custkey", F.lit("\nPatient Name :"), name, F.lit("\nWard"), F.when(F.col("c_custkey") % 2 == 0, "/OPD").otherwise(""), F.lit(" :"), "c_mktsegment")
-    room = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "\nRoom/Bed :").otherwise(F.concat(F.lit("\nRoom/Bed : "), "c_nationkey"))
+    head = F.concat(F.lit("Department of Biochemistry\nCR No : "), F.expr(key), F.lit("\nPatient Name :"), name, F.lit("\nWard"), F.when(F.col("c_custkey") % 2 == 0, "/OPD").otherwise(""), F.lit(" :"), "c_mktsegment")
+    room = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "\nRoom/Bed :").otherwise(F.concat(F.lit("\nRoom/Bed : "), F.expr(room_no)))
     tail = F.concat(F.lit("\nClinician : "), F.when(F.col("c_custkey") % 5 == 0, "--").otherwise(F.concat(F.lit("Dr "), "c_nationkey")), F.lit("\nInvestigation\nResult 1\nPage 1 of 2"))
     pages = c.select("c_custkey", F.posexplode(F.array(F.concat(head, room, tail), F.concat(head, F.lit("\nPage 2 of 2")))).alias("page_no", "text"))
     return pages.select(F.col("c_custkey").alias("doc_id"), "page_no", "text")
@@ -280,6 +280,16 @@ def redact_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redacted(pages, _targets(spark, sf_dir), pages.select("doc_id").distinct().withColumn("anon_id", F.lit("SUBJ$")))
 
 
+@query(r"""SELECT c_custkey AS doc_id, p.n AS page_no, 'Department of Biochemistry' || chr(10) || 'CR No : SUBJ$' || chr(10) || 'Patient Name :' || chr(10) || 'Ward' || CASE WHEN c_custkey % 2 = 0 THEN '/OPD' ELSE '' END || ' :'
+ || CASE WHEN p.n = 1 THEN chr(10) || 'Page 2 of 2' ELSE CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Room/Bed :' ELSE chr(10) || 'Room/Bed : ' END
+ || chr(10) || 'Clinician : ' || CASE WHEN c_custkey % 5 = 0 THEN '--' ELSE '' END || chr(10) || 'Investigation' || chr(10) || 'Result 1' || chr(10) || 'Page 1 of 2' END || chr(10) || 'Subject ID: SUBJ$' AS text
+FROM customer, (VALUES (0), (1)) p(n)""")
+def redact_all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all customers, with all forms of the room, redacted and stamped. Keys and rooms have a letter and a fixed width, so they are part of no other figure."""
+    pages = _reports(spark, sf_dir, "concat('K', lpad(c_custkey, 12, '0'))", "concat('W', lpad(c_nationkey, 3, '0'))")
+    return redact.redacted(pages, extract.targets_a(extract.fields_a(pages)), pages.select("doc_id").distinct().withColumn("anon_id", F.lit("SUBJ$")))
+
+
 _HITS_SQL = """WITH pages AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page_no FROM documents),
 hits AS (SELECT doc_id, v AS value, page_no, ((length(t) - length(replace(lower(t), v, ''))) // length(v))::BIGINT AS hits FROM pages, (VALUES ('the'), ('ing'), ('que')) x(v))"""
 
