@@ -1,7 +1,7 @@
 """Page text of simple PDF files: uncompressed or Flate streams with text operators.
 
 With the optional library installed its text is taken instead. A file that neither can read gives an
-error row.
+error row; so do files without page objects, with object streams, or with text in hex strings.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ except ImportError:
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _SHOW = re.compile(rb"\((?:[^()\\]|\\.)*\)\s*(?:Tj|'|\")|\[(?:[^\]\\]|\\.)*\]\s*TJ|T\*|-?[\d.]+\s+-?[\d.]+\s+T[dD]", re.S)
+_SHOWS = re.compile(rb"\bT[jJ]\b|['\"]")
 _STRING = re.compile(rb"\(((?:[^()\\]|\\.)*)\)", re.S)
 _ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3})")
 _NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -30,12 +31,17 @@ def _plain(raw: bytes) -> str:
 
 
 def _stream_text(raw: bytes) -> str:
-    out = []
+    out, left = [], len(_SHOWS.findall(_STRING.sub(b"()", raw)))
     for m in _SHOW.finditer(raw):
+        left -= not m[0].endswith((b"T*", b"Td", b"TD"))
+        if b"<" in _STRING.sub(b"", m[0]):
+            left += 1
         if m[0].endswith((b"T*", b"Td", b"TD")):
             out.append("\n")
         else:
             out += [_plain(s[1]) for s in _STRING.finditer(m[0])] + (["\n"] if m[0].endswith((b"'", b'"')) else [])
+    if left:
+        raise ValueError("text operators that are not supported")
     return re.sub(r"\n+", "\n", "".join(out)).strip("\n")
 
 
@@ -46,6 +52,8 @@ def pages(content: bytes) -> list[str]:
     if fitz is not None:
         with fitz.open(stream=content, filetype="pdf") as doc:
             return [p.get_text() for p in doc]
+    if re.search(rb"/Type\s*/ObjStm\b", content):
+        raise ValueError("object streams are not supported")
     objects = {int(n): body for n, body in _OBJECT.findall(content)}
     out = []
     for body in (b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)):
@@ -57,6 +65,8 @@ def pages(content: bytes) -> list[str]:
                     raise ValueError("a stream's filter is not supported")
                 text.append(_stream_text(zlib.decompress(m[1]) if b"FlateDecode" in one else m[1]))
         out.append("\n".join(text))
+    if not out:
+        raise ValueError("no page objects")
     return out
 
 
