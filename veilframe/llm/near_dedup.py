@@ -3,17 +3,24 @@
 Every document is the set of its k-word shingles. Documents with equal sets are one class. Class
 representatives descend independent random trees: a node picks one coordinate of the minwise
 signature, and with probability 1/threshold - 1 a second, and deals its documents out by the
-minwise token there. Nodes with few documents are compared exhaustively on small sketches; large
-ones go on branching. Candidates are confirmed on the full shingle sets, never on sketches.
+minwise token there. Nodes with few documents are compared exhaustively; large ones go on branching.
+
+Documents of a node are compared by parity sketches: bit h(x) mod m of a set is the parity of its
+shingles there, so the bits in which two sketches differ are never more than the shingles in which
+the two sets differ. A pair with more differing bits than a link may have is certainly none, and none
+of the links is lost here. m is at least four times the set, so what passes has a similarity of about
+0.77 or more. Candidates are confirmed on the full shingle sets, never on sketches.
 
 A node that stays large holds documents much alike. There each document is tried against about 64
-sampled ones, by its two best sketches. Where these links leave a node in several components, the
-documents outside its largest one meet all of the node in blocks of about 64. Branching on would
-lose pairs with depth, so the documents of nodes with too many outside are dealt out by their rarest
-shingles instead: two sets at the threshold always share one of those (prefix filter), and only
-documents that share one meet, in blocks again. That is exact; it costs rows by block where thousands
-of unlinked documents have a rare shingle in common. Only pairs that can still join two components
-are confirmed.
+sampled ones. Where the links so far leave a node in several components, the documents outside its
+largest one meet all of the node in blocks of about 64. Branching on would lose pairs with depth, so
+the documents of nodes with too many outside are dealt out by their rarest shingles instead: two sets
+at the threshold always share one of those (prefix filter), and only documents that share one meet, in
+blocks again. That is exact; it costs rows by block where thousands of unlinked documents have a rare
+shingle in common.
+
+Confirmation goes in rounds, the best candidate of each document first, and only pairs that can still
+join two components are confirmed. A set travels once for each of its document's pairs, to the other one.
 """
 
 from __future__ import annotations
@@ -22,20 +29,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, components, mix, rolling, words, written
 
 WIDTH = 64  # coordinates of the signature that trees branch on
-SKETCH = 128  # coordinates of the sketch, 4 bits each
 TREES = 12
 LEAF = 16  # documents of a node compared exhaustively
 LEVELS = 3  # before large nodes are tried by sampled documents
 BLOCK = 64  # sampled documents, or those outside the largest component, that a row meets at once
+CHUNK = 1 << 17  # bytes of a large node's rows that go to a Python worker as one
+STAR = 256  # sets that meet one document's set in one place
 STRAYS = 1024  # outside the largest component; documents of a node with more are dealt out by rare shingles
-_A = (np.random.default_rng(4).integers(1, 2**63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = np.random.default_rng(5).integers(0, 2**63, SKETCH, dtype=np.uint64)
+STRONG = 0.9  # share of the differences a link may have below which a candidate is taken for certain when one is chosen
+_A = (np.random.default_rng(4).integers(1, 2**63, WIDTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_B = np.random.default_rng(5).integers(0, 2**63, WIDTH, dtype=np.uint64)
 _HASH = WordHash()
 
 
@@ -48,14 +58,66 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """The least 32-bit hash of the set under each of SKETCH functions."""
-    low = np.full(SKETCH, 2**32 - 1, np.uint64)
+    """The least 32-bit hash of the set under each of WIDTH functions."""
+    low = np.full(WIDTH, 2**32 - 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(s), 2048):
             low = np.minimum(low, ((_A[:, None] * s[i : i + 2048] + _B[:, None]) >> np.uint64(32)).min(axis=1))
     return low.astype(np.uint32)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """The parity sketch of a set: a power of two of bits, four for each shingle or more and 64 at least."""
+    m = max(64, 1 << (4 * len(s) - 1).bit_length())
+    bits = np.bincount((mix(s + np.uint64(78)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """The sketches of an Arrow column, by length."""
+
+    def __init__(self, column: pa.Array):
+        self.size = pc.binary_length(column).to_numpy(zero_copy_only=False)
+        self.at, self.rows = np.zeros(len(column), np.int64), {}
+        for size in np.unique(self.size):
+            there = np.flatnonzero(self.size == size)
+            self.at[there] = np.arange(len(there))
+            self.rows[size] = np.frombuffer(b"".join(column.take(pa.array(there)).to_pylist()), np.uint64).reshape(len(there), -1)
+
+    def take(self, i: np.ndarray, size: int) -> np.ndarray:
+        """Sketches of one length, folded to a shorter one: parities of halves add up."""
+        x = self.rows[self.size[i[0]]][self.at[i]]
+        while x.shape[1] * 8 > size:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return x
+
+
+def differing(a: Sketches, i: np.ndarray, b: Sketches, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair (i of a, j of b): differing bits and bits compared."""
+    out, short = np.zeros(len(i), np.int64), np.minimum(a.size[i], b.size[j]) if len(i) else np.zeros(0, np.int64)
+    kinds = a.size[i].astype(np.int64) << 32 | b.size[j].astype(np.int64) if len(i) else short
+    for kind in np.unique(kinds):
+        there = np.flatnonzero(kinds == kind)
+        size = int(short[there[0]])
+        step = max(1, (1 << 23) // size)
+        for at in range(0, len(there), step):
+            t = there[at : at + step]
+            out[t] = np.bitwise_count(a.take(i[t], size) ^ b.take(j[t], size)).sum(axis=1)
+    return out, short.astype(np.int64) * 8
+
+
+def alike(a: Sketches, na: np.ndarray, i: np.ndarray, b: Sketches, nb: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that can be links, and their ranks: 0 where surely one, else the more the less likely."""
+    some = np.flatnonzero(100 * np.minimum(na[i], nb[j]) >= percent * np.maximum(na[i], nb[j]))
+    bits, m = differing(a, i[some], b, j[some])
+    both = (na[i[some]] + nb[j[some]]) * (100 - percent)
+    ok = np.flatnonzero(bits * (100 + percent) <= both)
+    some, bits, m, both = some[ok], bits[ok], m[ok], both[ok]
+    with np.errstate(divide="ignore"):
+        share = -0.5 * m * np.log(np.maximum(1 - 2 * bits / m, 1e-9)) * (100 + percent) / np.maximum(both, 1)
+    return some, np.where(share <= STRONG, 0, np.minimum(1000 * share, 1e6)).astype(np.int64)
+
+
 def _features(k: int):
     def run(batches):
         for b in batches:
@@ -71,9 +133,8 @@ def _features(k: int):
                     with np.errstate(over="ignore"):
                         keys.append(np.array([mix(s).sum(), mix(s + np.uint64(77)).sum()], np.uint64).tobytes())
                     m = minwise(s)
-                    sigs.append(m[:WIDTH].tobytes())
-                    low = (m & 15).astype(np.uint8)
-                    sketches.append((low[0::2] | (low[1::2] << 4)).tobytes())
+                    sigs.append(m.tobytes())
+                    sketches.append(parity(s))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, 512), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())],
                     names=["doc_id", "n", "key", "sig", "sketch"],
@@ -119,87 +180,80 @@ def _branch(second: float):
     return run
 
 
-def _nibbles(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), SKETCH // 2)
-    return np.concatenate([x & 15, x >> 4], axis=1)
+def _documents(lists: pa.Array):
+    """Reps, sizes, components and sketches of the documents in an Arrow column of arrays, and where each array starts."""
+    flat = lists.flatten()
+    reps, n, comp = (flat.field(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+    return reps, n, comp, Sketches(flat.field(3)), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
 
 
-def _agreeing(threshold: float) -> int:
-    """Equal sketch coordinates that a pair at the threshold has but for about one in 30,000."""
-    p = threshold + (1 - threshold) / 16
-    return int(np.floor(SKETCH * p - 4 * np.sqrt(SKETCH * p * (1 - p))))
+def _best(u: np.ndarray, v: np.ndarray, rank: np.ndarray):
+    """One pair for each u: of the least rank, then of the least v."""
+    order = np.lexsort((v, rank, u))
+    u, v, rank = u[order], v[order], rank[order]
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.arange(0)
+    return u[first], v[first], rank[first]
 
 
-def _possible(na, nb, percent: int):
-    return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+def _pairs(u, v, rank):
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(rank, pa.int64())], names=["u", "v", "rank"])
 
 
 def _compare(percent: int, first: bool):
-    """Node rows (array of rep, n, comp, sketch) to candidate pairs. first: each document and its least alike one; else all alike pairs of two components."""
-    least = _agreeing(percent / 100)
+    """Nodes (array of rep, n, comp, sketch) to candidate pairs. first: each document and one before it; else all alike pairs of two components."""
 
     def run(batches):
         for b in batches:
-            us, vs = [], []
-            for docs in b.column(0):
-                d = docs.as_py()
-                reps, n, comp = (np.array([x[i] for x in d], np.int64) for i in ("rep", "n", "comp"))
-                bits = _nibbles([x["sketch"] for x in d])
-                alike = ((bits[:, None, :] == bits[None, :, :]).sum(axis=2) >= least) & _possible(n[:, None], n[None, :], percent)
-                alike &= reps[:, None] > reps[None, :]
-                if first:
-                    some = np.flatnonzero(alike.any(axis=1))
-                    us.append(reps[some])
-                    vs.append(np.where(alike[some], reps[None, :], np.iinfo(np.int64).max).min(axis=1) if len(some) else reps[:0])
-                else:
-                    i, j = np.nonzero(alike & (comp[:, None] != comp[None, :]))
-                    us.append(reps[i]), vs.append(reps[j])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            for at in range(0, len(b), 128):
+                reps, n, comp, sketches, starts = _documents(b.column(0).slice(at, 128))
+                i, j = [], []
+                sizes = np.diff(starts)
+                for size in np.unique(sizes):
+                    x, y = np.triu_indices(size, 1)
+                    there = starts[:-1][sizes == size]
+                    i.append((there[:, None] + x).ravel()), j.append((there[:, None] + y).ravel())
+                i, j = np.concatenate(i), np.concatenate(j)
+                i, j = np.where(reps[i] > reps[j], i, j), np.where(reps[i] > reps[j], j, i)
+                some = np.flatnonzero((reps[i] != reps[j]) & (first | (comp[i] != comp[j])))
+                i, j = i[some], j[some]
+                ok, rank = alike(sketches, n, i, sketches, n, j, percent)
+                yield _pairs(*(_best if first else lambda *x: x)(reps[i[ok]], reps[j[ok]], rank))
 
     return run
 
 
-def _against(percent: int, best: int | None):
-    """Rows of rep, n, comp, sketch and others (an array of the same) to candidate pairs: for each row its `best` most alike others, or all alike ones of another component."""
-    least = _agreeing(percent / 100)
+def _meet(percent: int, first: bool):
+    """Two arrays of rep, n, comp, sketch to candidate pairs: for each document of the one its best of the other, or all alike ones of another component."""
 
     def run(batches):
         for b in batches:
-            others: dict[int, tuple] = {}
-            bits = _nibbles(b.column(3).to_pylist()) if len(b) else None
-            us, vs = [], []
-            lists = b.column(4)
-            for i in range(len(b)):
-                there = lists[i]
-                key = (len(there), there.values[0].as_py()["rep"], b.column(5)[i].as_py()) if len(there) else None
-                if key is None:
-                    continue
-                if key not in others:
-                    d = there.as_py()
-                    if len(others) >= 64 or next(iter(others), key)[2] != key[2]:
-                        others.clear()
-                    others[key] = (*(np.array([x[c] for x in d], np.int64) for c in ("rep", "n", "comp")), _nibbles([x["sketch"] for x in d]))
-                reps, n, comp, theirs = others[key]
-                rep, size, own = (b.column(c)[i].as_py() for c in range(3))
-                equal = (theirs == bits[i]).sum(axis=1)
-                ok = np.flatnonzero((equal >= least) & _possible(n, size, percent) & (reps != rep) & ((comp != own) | (best is not None)))
-                if best is not None:
-                    ok = ok[np.lexsort((reps[ok], -equal[ok]))][:best]
-                us.append(np.full(len(ok), rep)), vs.append(reps[ok])
-            if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+            for at in range(len(b)):
+                reps, n, comp, sketches, _ = _documents(b.column(0).slice(at, 1))
+                others, size, theirs, more, _ = _documents(b.column(1).slice(at, 1))
+                i, j = np.repeat(np.arange(len(reps)), len(others)), np.tile(np.arange(len(others)), len(reps))
+                some = np.flatnonzero((reps[i] != others[j]) & (first | (comp[i] != theirs[j])))
+                i, j = i[some], j[some]
+                ok, rank = alike(sketches, n, i, more, size, j, percent)
+                u, v = reps[i[ok]], others[j[ok]]
+                yield _pairs(*_best(u, v, rank)) if first else _pairs(np.maximum(u, v), np.minimum(u, v), rank)
 
     return run
 
 
 def _sets(k: int):
+    """Rows of rep, center, salt and text to the same with the set for the text."""
+
     def run(batches):
+        text, found = None, shingle_set(None, k).tobytes()
         for b in batches:
             for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in part.column(1)], pa.binary())], names=["rep", "shingles"])
+                part, out = b.slice(at, 256), []
+                for t in part.column(3):
+                    if t.as_py() != text:
+                        text = t.as_py()
+                        found = shingle_set(text, k).tobytes()
+                    out.append(found)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], names=["rep", "center", "salt", "shingles"])
 
     return run
 
@@ -220,14 +274,26 @@ def _shingles(k: int):
 
 
 def _links(percent: int):
+    """Rows of rep, center, salt, shingles in order, a center's own first, to the links (u, v) of its other documents with it."""
+
     def run(batches):
+        now, own = None, []
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                s, t = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            us, vs = [], []
+            for rep, center, salt, raw in zip(*(b.column(c) for c in range(4))):
+                rep, here, s = rep.as_py(), (center.as_py(), salt.as_py()), np.frombuffer(raw.as_py(), np.uint64)
+                if here != now:
+                    now, own = here, []
+                if rep == here[0]:
+                    if not any(np.array_equal(s, t) for t in own):
+                        own.append(s)
+                    continue
+                for t in own:
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        us.append(rep), vs.append(here[0])
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -245,8 +311,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     component_id is the least doc_id reachable over links, kept is doc_id = component_id. Null or
     wordless texts have no shingles and no links. Rows with one doc_id are one document (each row
     is returned); a null doc_id takes part in nothing: component_id null, kept true. An empty table
-    gives an empty result. Links at exactly the threshold are met with a chance over 0.999
-    whatever the size of their nodes: a pair is lost by the trees' first levels or by its sketches.
+    gives an empty result. A link is lost only where no tree brings the two documents together in its
+    first levels: at exactly the threshold about one in ten thousand, whatever the size of the nodes.
     """
     second = 100 / percent - 1
     feats = written(docs.select("doc_id", "text").mapInArrow(_features(k), "doc_id long, n long, key binary, sig binary, sketch binary"), "features")
@@ -255,35 +321,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     member = known.select("doc_id", "key").distinct().join(classes, "key").select("doc_id", "rep")
     reps = written(known.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("rep"), "n", "sig", "sketch"), "reps")
     sketches = reps.select("rep", "n", "sketch")
-    pairs, entry = "u long, v long", F.struct("rep", "n", "comp", "sketch")
+    pairs, entry = "u long, v long, rank long", F.struct("rep", "n", "comp", "sketch")
 
     def branched(level: DataFrame) -> DataFrame:
         rows = level.select("node", "rep").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig")
         return _sized(written(rows.mapInArrow(_branch(second), "node long, rep long"), "front"))
 
-    def marked(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """Node rows with size, component (before any link the document itself) and sketch."""
-        rows = nodes.join(sketches, "rep")
-        return rows.withColumn("comp", F.col("rep")) if comp is None else rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    def with_comp(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """Node rows with their component, before any link the document itself."""
+        return nodes.withColumn("comp", F.col("rep")) if comp is None else nodes.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
     def grouped(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """Small nodes as arrays of at most LEAF documents; with comp only those of two components or more."""
-        out = marked(nodes, comp).groupBy("node").agg(F.collect_list(entry).alias("docs"))
-        return out.where(F.size(F.array_distinct("docs.comp")) > 1).select("docs")
+        """Small nodes of two components or more as arrays of at most LEAF documents."""
+        rows = with_comp(nodes, comp)
+        if comp is not None:
+            rows = written(rows, "small")
+            rows = rows.join(rows.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("node"), "node")
+        return rows.join(sketches, "rep").groupBy("node").agg(F.collect_list(entry).alias("docs")).select("docs")
+
+    def met(rows: DataFrame, some: DataFrame, blocks: Column, first: bool) -> DataFrame:
+        """Rows of nodes (node, rep, comp) against those of `some` rows of the same node, in each of its blocks, which hold about BLOCK.
 
-    def met(rows: DataFrame, some: DataFrame, blocks: Column, best: int | None) -> DataFrame:
-        """Rows of nodes against those of `some` rows of the same node that fall in each of its blocks, which hold about BLOCK."""
-        lists = some.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), blocks)).groupBy("node", "block").agg(F.collect_list(entry).alias("others"))
-        return rows.select("node", *"rep n comp sketch".split()).join(lists, "node").select("rep", "n", "comp", "sketch", "others", "node").mapInArrow(_against(percent, best), pairs)
+        A node's rows are dealt to chunks of about CHUNK bytes; each of its blocks goes to each chunk, so no key holds a whole node.
+        """
+        rows = written(rows.select("node", "rep", "comp").join(sketches, "rep"), "chunks")
+        chunks = rows.groupBy("node").agg(F.ceil(F.sum(F.octet_length("sketch") + 32) / CHUNK).cast("int").alias("chunks"))
+        docs_of = rows.join(chunks, "node").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), "chunks").cast("int")).groupBy("node", "chunk").agg(F.collect_list(entry).alias("docs"))
+        lists = some.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), blocks)).select("node", "rep", "comp", "block").join(sketches, "rep").groupBy("node", "block").agg(F.collect_list(entry).alias("others"))
+        lists = lists.join(chunks, "node").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        return docs_of.join(lists, ["node", "chunk"]).select("docs", "others").mapInArrow(_meet(percent, first), pairs)
 
     def confirmed(found: DataFrame, name: str) -> DataFrame:
-        """Pairs that are links on the full sets, which are made once for each document in a pair."""
-        found = written(found.distinct(), f"{name}-pairs")
-        ends = found.select(F.col("u").alias("rep")).unionByName(found.select(F.col("v").alias("rep"))).distinct()
-        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi")
-        sets = written(texts.mapInArrow(_sets(k), "rep long, shingles binary"), f"{name}-sets")
-        full = found.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y")), "v")
-        return written(full.select("u", "v", "x", "y").mapInArrow(_links(percent), pairs), f"{name}-links", records=256)
+        """Pairs (u, v) that are links on the full sets. Each set of a u goes to its v, whose own set goes there once for STAR others."""
+        salts = found.groupBy(F.col("v").alias("center")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+        legs = found.select(F.col("u").alias("rep"), F.col("v").alias("center")).join(salts, "center").select("rep", "center", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"))
+        own = salts.select(F.col("center").alias("rep"), "center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(written(legs.unionByName(own), f"{name}-legs"), "rep").select("rep", "center", "salt", "text")
+        sets = texts.mapInArrow(_sets(k), "rep long, center long, salt int, shingles binary")
+        there = sets.repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("rep") != F.col("center"))
+        return written(there.mapInArrow(_links(percent), "u long, v long"), f"{name}-links", records=256).distinct()
+
+    def joined(links: DataFrame, name: str) -> DataFrame:
+        return written(components(links, name).select(F.col("node").alias("rep"), F.col("component").alias("comp")), f"{name}-comp")
+
+    def apart(found: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs of two components."""
+        for end in ("u", "v"):
+            found = found.join(comp.select(F.col("rep").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
+        return found.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "rank")
 
     def rare(rest: DataFrame, comp: DataFrame) -> DataFrame:
         """Alike pairs of two components by rare shingles.
@@ -298,13 +383,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         first = sets.selectExpr("rep", "s", "n - size(s) AS own", f"n - ({percent} * n + 99) div 100 + 1 AS probe", f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1 AS held")
         first = first.selectExpr("rep", "held - own AS held", "posexplode(slice(s, 1, int(greatest(probe - own, 0)))) AS (at, x)").groupBy("rep", F.col("x.node").alias("node")).agg(F.bool_or(F.col("at") < F.col("held")).alias("held"))
         some = first.groupBy("node").agg(F.count("*").alias("c"), F.bool_or("held").alias("any")).where("c > 1 AND any").select("node")
-        rows = written(marked(first.join(some, "node"), comp), "rare")
+        rows = written(with_comp(first.join(some, "node"), comp), "rare")
         most = F.struct("k", "comp")
         kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.count_if("held").alias("h")).groupBy("node").agg(F.max_by("comp", most).alias("most"), F.max_by("h", most).alias("inside"), (F.sum("h") - F.max_by("h", most)).alias("outside"), F.count("*").alias("comps")).where("comps > 1")
         rows = written(rows.join(kinds, "node"), "rare-open")
         block = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1))
-        found = met(rows, rows.where("held AND comp <> most"), block("outside"), None)
-        return found.unionByName(met(rows.where("comp <> most"), rows.where("held AND comp = most"), block("inside"), None))
+        found = met(rows, rows.where("held AND comp <> most"), block("outside"), False)
+        return found.unionByName(met(rows.where("comp <> most"), rows.where("held AND comp = most"), block("inside"), False))
 
     level, small = _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long")), []
     for _ in range(LEVELS - 1):
@@ -313,20 +398,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     small = reduce(DataFrame.unionByName, [*small, level.where(F.col("c") <= LEAF)]).select("node", "rep")
     large = level.where(F.col("c") > LEAF)
 
-    least = grouped(small, None).mapInArrow(_compare(percent, True), pairs).groupBy("u").agg(F.min("v").alias("v"))
-    rows = marked(large, None)
-    sampled = rows.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / BLOCK)) == 0)
-    links = confirmed(least.unionByName(met(rows, sampled, F.lit(1), 2)), "first")
-    comp = written(components(links, "stars").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comp")
+    sampled = large.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / BLOCK)) == 0)
+    found = grouped(small, None).mapInArrow(_compare(percent, True), pairs).unionByName(met(with_comp(large, None), with_comp(sampled, None), F.lit(1), True))
+    links = confirmed(written(found, "first", records=64).groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v")), "first")
+    comp = joined(links, "stars")
     more = grouped(small, comp).mapInArrow(_compare(percent, False), pairs)
-    rows = written(marked(large, comp), "large")
+    rows = written(with_comp(large, comp), "large")
     kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("strays")).where("strays > 0")
     rows = written(rows.join(kinds, "node"), "open")
     now, rest = rows.where(F.col("strays") <= STRAYS), rows.where(F.col("strays") > STRAYS)
-    more = more.unionByName(met(now, now.where("comp <> most"), F.ceil(F.col("strays") / BLOCK), None))
+    more = more.unionByName(met(now, now.where("comp <> most"), F.ceil(F.col("strays") / BLOCK), False))
     if not rest.isEmpty():
         more = more.unionByName(rare(rest, comp))
-    links = links.unionByName(confirmed(more, "second"))
+    more = written(written(more, "more", records=64).distinct(), "second")
+    best = more.groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v"))
+    links = links.unionByName(confirmed(best, "second"))
+    last = written(apart(more, joined(links, "joined")), "last")
+    links = links.unionByName(confirmed(last.select("u", "v").join(best, ["u", "v"], "left_anti"), "last"))
     comp = components(links, "final").withColumnRenamed("node", "rep")
     # A document with several rows of different text belongs to several classes: its rows join them.
     final = member.join(comp, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
