@@ -101,24 +101,20 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of every endpoint of edges (u, v): the least node reachable.
 
-    Large-star and small-star rounds until nothing changes; each round is grouped minima and
-    equi-joins, written to the shared folder. Nothing is collected but a count and a checksum.
+    Large-star and small-star rounds until only stars are left; each round is grouped minima and
+    equi-joins over two shuffles, written to the shared folder. Nothing is collected but whether a
+    node has a lesser neighbour and others besides.
     """
-    same = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e, before = written(same, name), None
+    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     while True:
-        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u").distinct()
+        low = sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        if low.where("m < u AND n > 1").isEmpty():
+            break
+        large = sym.where("v > u").join(low.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = written(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct(),
-            name,
-        )
-        after = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(after) == before:
-            break
-        before = tuple(after)
+        e = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")), name)
+    e = e.distinct()
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

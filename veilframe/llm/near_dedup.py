@@ -30,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, components, mix, rolling, words, written
@@ -40,7 +40,7 @@ TREES = 12
 LEAF = 16  # documents of a node compared exhaustively
 LEVELS = 3  # before large nodes are tried by sampled documents
 BLOCK = 64  # sampled documents, or those outside the largest component, that a row meets at once
-CHUNK = 1 << 17  # bytes of a large node's rows that go to a Python worker as one
+CHUNK = 256  # documents of a large node that go to a Python worker as one, about
 STAR = 256  # sets that meet one document's set in one place
 STRAYS = 1024  # outside the largest component; documents of a node with more are dealt out by rare shingles
 STRONG = 0.9  # share of the differences a link may have below which a candidate is taken for certain when one is chosen
@@ -317,9 +317,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     second = 100 / percent - 1
     feats = written(docs.select("doc_id", "text").mapInArrow(_features(k), "doc_id long, n long, key binary, sig binary, sketch binary"), "features")
     known = feats.where("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    member = known.select("doc_id", "key").distinct().join(classes, "key").select("doc_id", "rep")
-    reps = written(known.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("rep"), "n", "sig", "sketch"), "reps")
+    # Equal keys have equal sets, so any row's signature will do.
+    reps = written(known.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sig", "sketch"))), "reps")
+    member = known.select("doc_id", "key").distinct().join(reps.select("key", "rep"), "key").select("doc_id", "rep")
     sketches = reps.select("rep", "n", "sketch")
     pairs, entry = "u long, v long, rank long", F.struct("rep", "n", "comp", "sketch")
 
@@ -339,16 +339,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
             rows = rows.join(rows.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("node"), "node")
         return rows.join(sketches, "rep").groupBy("node").agg(F.collect_list(entry).alias("docs")).select("docs")
 
-    def met(rows: DataFrame, some: DataFrame, blocks: Column, first: bool) -> DataFrame:
-        """Rows of nodes (node, rep, comp) against those of `some` rows of the same node, in each of its blocks, which hold about BLOCK.
+    def met(rows: DataFrame, first: bool) -> DataFrame:
+        """Rows of nodes (node, rep, comp, c, n_some, meets, some) that meet others against the `some` rows of the same node, in each of its blocks, which hold about BLOCK of these n_some.
 
-        A node's rows are dealt to chunks of about CHUNK bytes; each of its blocks goes to each chunk, so no key holds a whole node.
+        The c rows of a node are dealt to chunks of about CHUNK; each of its blocks goes to each chunk, so no key holds a whole node.
         """
-        rows = written(rows.select("node", "rep", "comp").join(sketches, "rep"), "chunks")
-        chunks = rows.groupBy("node").agg(F.ceil(F.sum(F.octet_length("sketch") + 32) / CHUNK).cast("int").alias("chunks"))
-        docs_of = rows.join(chunks, "node").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), "chunks").cast("int")).groupBy("node", "chunk").agg(F.collect_list(entry).alias("docs"))
-        lists = some.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), blocks)).select("node", "rep", "comp", "block").join(sketches, "rep").groupBy("node", "block").agg(F.collect_list(entry).alias("others"))
-        lists = lists.join(chunks, "node").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        chunks = F.ceil(F.col("c") / CHUNK).cast("int")
+        docs_of = rows.where("meets").select("node", "rep", "comp", F.pmod(F.xxhash64("rep", F.lit(3)), chunks).cast("int").alias("chunk")).join(sketches, "rep").groupBy("node", "chunk").agg(F.collect_list(entry).alias("docs"))
+        lists = rows.where("some").select("node", "rep", "comp", chunks.alias("chunks"), F.pmod(F.xxhash64("rep", F.lit(2)), F.greatest(F.ceil(F.col("n_some") / BLOCK), F.lit(1))).alias("block")).join(sketches, "rep").groupBy("node", "block").agg(F.first("chunks").alias("chunks"), F.collect_list(entry).alias("others"))
+        lists = lists.select("node", "others", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         return docs_of.join(lists, ["node", "chunk"]).select("docs", "others").mapInArrow(_meet(percent, first), pairs)
 
     def confirmed(found: DataFrame, name: str) -> DataFrame:
@@ -361,17 +360,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         there = sets.repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("rep") != F.col("center"))
         return written(there.mapInArrow(_links(percent), "u long, v long"), f"{name}-links", records=256).distinct()
 
-    def joined(links: DataFrame, name: str) -> DataFrame:
-        return written(components(links, name).select(F.col("node").alias("rep"), F.col("component").alias("comp")), f"{name}-comp")
-
     def apart(found: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of two components."""
+        """Pairs of two components, with these as cu and cv."""
         for end in ("u", "v"):
-            found = found.join(comp.select(F.col("rep").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
-        return found.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "rank")
+            found = found.join(comp.select(F.col("rep").alias(end), F.col("comp").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        return found.where("cu <> cv")
+
+    def joined(links: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+        """The components with further links: those of the graph of components, carried over to the documents."""
+        links = written(apart(links, comp).select(F.col("cu").alias("u"), F.col("cv").alias("v")), f"{name}-apart")
+        if links.isEmpty():
+            return comp
+        to = components(links, name).withColumnRenamed("node", "comp")
+        rows = comp.unionByName(links.select(F.explode(F.array("u", "v")).alias("rep")).distinct().withColumn("comp", F.col("rep"))).distinct()
+        return written(rows.join(to, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")), f"{name}-comp")
 
     def rare(rest: DataFrame, comp: DataFrame) -> DataFrame:
-        """Alike pairs of two components by rare shingles.
+        """Rows that meet by rare shingles, as met() takes them.
 
         In an order of all shingles, rarest first, the larger set of a pair at the threshold shares one of its first `probe` with the first `held` of the smaller one.
         Shingles of one document come first and are only counted.
@@ -385,11 +390,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         some = first.groupBy("node").agg(F.count("*").alias("c"), F.bool_or("held").alias("any")).where("c > 1 AND any").select("node")
         rows = written(with_comp(first.join(some, "node"), comp), "rare")
         most = F.struct("k", "comp")
-        kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.count_if("held").alias("h")).groupBy("node").agg(F.max_by("comp", most).alias("most"), F.max_by("h", most).alias("inside"), (F.sum("h") - F.max_by("h", most)).alias("outside"), F.count("*").alias("comps")).where("comps > 1")
+        kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.count_if("held").alias("h")).groupBy("node").agg(F.max_by("comp", most).alias("most"), F.max_by("h", most).alias("inside"), (F.sum("h") - F.max_by("h", most)).alias("outside"), F.count("*").alias("comps"), F.sum("k").alias("c")).where("comps > 1")
         rows = written(rows.join(kinds, "node"), "rare-open")
-        block = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1))
-        found = met(rows, rows.where("held AND comp <> most"), block("outside"), False)
-        return found.unionByName(met(rows.where("comp <> most"), rows.where("held AND comp = most"), block("inside"), False))
+        no, of = F.lit(False), ("rep", "comp", "c")
+        outside = rows.select(F.xxhash64("node", F.lit(1)).alias("node"), *of, F.col("outside").alias("n_some"), (~no).alias("meets"), F.expr("held AND comp <> most").alias("some"))
+        return outside.unionByName(rows.select(F.xxhash64("node", F.lit(2)).alias("node"), *of, F.col("inside").alias("n_some"), F.expr("comp <> most").alias("meets"), F.expr("held AND comp = most").alias("some")))
 
     level, small = _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long")), []
     for _ in range(LEVELS - 1):
@@ -398,26 +403,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     small = reduce(DataFrame.unionByName, [*small, level.where(F.col("c") <= LEAF)]).select("node", "rep")
     large = level.where(F.col("c") > LEAF)
 
-    sampled = large.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / BLOCK)) == 0)
-    found = grouped(small, None).mapInArrow(_compare(percent, True), pairs).unionByName(met(with_comp(large, None), with_comp(sampled, None), F.lit(1), True))
+    sampled = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / BLOCK)) == 0
+    tried = met(with_comp(large, None).select("*", F.lit(0).alias("n_some"), F.lit(True).alias("meets"), sampled.alias("some")), True)
+    found = grouped(small, None).mapInArrow(_compare(percent, True), pairs).unionByName(tried)
     links = confirmed(written(found, "first", records=64).groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v")), "first")
-    comp = joined(links, "stars")
+    comp = written(components(links, "stars").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comp")
     more = grouped(small, comp).mapInArrow(_compare(percent, False), pairs)
     rows = written(with_comp(large, comp), "large")
     kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("strays")).where("strays > 0")
     rows = written(rows.join(kinds, "node"), "open")
-    now, rest = rows.where(F.col("strays") <= STRAYS), rows.where(F.col("strays") > STRAYS)
-    more = more.unionByName(met(now, now.where("comp <> most"), F.ceil(F.col("strays") / BLOCK), False))
+    rest = rows.where(F.col("strays") > STRAYS)
+    rows = rows.where(F.col("strays") <= STRAYS).select("node", "rep", "comp", "c", F.col("strays").alias("n_some"), F.lit(True).alias("meets"), F.expr("comp <> most").alias("some"))
     if not rest.isEmpty():
-        more = more.unionByName(rare(rest, comp))
+        rows = rows.unionByName(rare(rest, comp))
+    more = more.unionByName(met(rows, False))
     more = written(written(more, "more", records=64).distinct(), "second")
-    best = more.groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v"))
-    links = links.unionByName(confirmed(best, "second"))
-    last = written(apart(more, joined(links, "joined")), "last")
-    links = links.unionByName(confirmed(last.select("u", "v").join(best, ["u", "v"], "left_anti"), "last"))
-    comp = components(links, "final").withColumnRenamed("node", "rep")
+    if not more.isEmpty():
+        best = more.groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v"))
+        comp = joined(confirmed(best, "second"), comp, "second")
+        last = written(apart(more, comp).select("u", "v").join(best, ["u", "v"], "left_anti"), "last")
+        if not last.isEmpty():
+            comp = joined(confirmed(last, "last"), comp, "last")
     # A document with several rows of different text belongs to several classes: its rows join them.
-    final = member.join(comp, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    final = member.join(comp, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
     final = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = feats.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
