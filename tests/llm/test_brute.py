@@ -86,12 +86,26 @@ def test_bpe_equals_the_library():
     own = tiktoken.Encoding("own", pat_str=bpe.SPLIT, mergeable_ranks=c.ranks, special_tokens={})
     rng = random.Random(2)
     alphabet = "ab e'ts ré\n\t \u0085\x1c=1²½_中文\U0001f600 İſ<|endoftext|>"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(500)] + ["a" * 300, " " * 501, "the" * 200, "abcab" * 60, "x" * 2001]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(500)] + ["a" * 300, " " * 501, "the" * 200, "abcab" * 60, "x" * 2001, *("".join(rng.choice(abc) for _ in range(3000)) for abc in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "=-_*#", "\u00e9\u00fca")), "=" * 3001]
     ids = c.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [own.encode_ordinary(t) for t in texts]
     assert c.decode(ids) == [t.encode() for t in texts]
 
 
+def test_a_word_of_200000_letters():
+    import resource
+    import time
+
+    from veilframe.llm.queries import TOKENIZERS
+
+    c = bpe.codec(bpe.read_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
+    word = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    began, before = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = c.encode([word, "x" * 200_000])
+    assert time.process_time() - began < 40 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+    assert c.decode(ids) == [word.encode(), b"x" * 200_000]
+
+
 def test_token_files_equal_the_library(spark):
     import zlib
 

@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding with DuckDB, in each partition (operator 2).
 
 Every match of the split pattern is encoded by itself. Encoding is a recursive query: rows of
-(piece, position, next position, token, next token) join the merge table, each piece's leftmost
-pair of least rank is contracted, and finished pieces leave, until none is left. Decoding joins
-ids to their bytes and aggregates them in order.
+(piece, position, token) join the merge table, and each round contracts in every piece its leftmost
+pair of least rank and, with it, all pairs that one after the other would come out the same: those
+that no pair of lower rank is near enough to reach. So a piece takes about as many rounds as its
+longest token has bytes, whatever its length. Rows are keyed by position, so rounds leave nothing
+behind. Decoding joins ids to their bytes and aggregates them in order.
 
-Pieces are encoded once per Python worker while they stay in a bounded cache. Pieces over LONG bytes
-take a second form of the query, which contracts all disjoint pairs of the least rank at once where
-that equals one after the other: where no pair with the new token has a lower rank than the token.
+Pieces are encoded once per Python worker while they stay in a bounded cache.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import tempfile
 from collections.abc import Callable
 
 import duckdb
@@ -25,55 +24,42 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
-LONG = 64
-PIECES = 20_000  # a query's
+from .common import alone, kept
+
+BYTES = 250_000  # of pieces in a query; a longer piece stands alone
 CACHED = 200_000
+MEMORY = 400_000_000  # DuckDB's, bytes
 
 #: The split pattern of the public vocabulary, and what its classes hold below U+0100.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\x09-\x0d\x20\x85\xa0"
 
-_SHORT = """
-WITH RECURSIVE s AS (
-    SELECT w, p, np, t, nt, false AS done FROM tk
-    UNION ALL
-    SELECT * FROM (
-        WITH best AS (
-            SELECT w, min((m::BIGINT << 32) | p) AS k
-            FROM s JOIN merges g ON g.k = ((t::BIGINT << 32) | nt::BIGINT)
-            WHERE nt >= 0 AND NOT done GROUP BY w),
-        pair AS (SELECT b.w, (b.k & 4294967295)::INT AS p, (b.k >> 32)::INT AS m, l.np AS q FROM best b JOIN s l ON l.p = (b.k & 4294967295)::INT),
-        cut AS (SELECT a.w, a.p, a.m, a.q, r.np AS rnp, r.nt AS rnt FROM pair a JOIN s r ON r.p = a.q)
-        SELECT s.w, s.p,
-            CASE WHEN s.p = c.p THEN c.rnp ELSE s.np END AS np,
-            CASE WHEN s.p = c.p THEN c.m ELSE s.t END AS t,
-            CASE WHEN s.p = c.p THEN c.rnt WHEN s.np = c.p THEN c.m ELSE s.nt END AS nt,
-            c.w IS NULL AS done
-        FROM s LEFT JOIN cut c ON s.w = c.w
-        WHERE NOT s.done AND (c.w IS NULL OR s.p <> c.q)
-    )
-)
-SELECT w, list(t ORDER BY p) AS ids FROM s WHERE done GROUP BY w
-"""
-
-_LONG = """
-WITH RECURSIVE s AS (
-    SELECT w, p, t, false AS done FROM tk
+# A pair (a, b) at p of rank m can be reached from the left only by a token x with a merge (x, a) of rank m
+# or less, which is at most `lx` bytes long, and from the right likewise, up to `rr` bytes on. No pair of
+# lower rank there: nothing reaches it before its turn. Neighbouring pairs of one rank overlap, so every
+# other one of such a run is contracted. A `wild` token has a merge of lower rank than its own; there
+# pairs of the same rank to the left count too.
+_ENCODE = """
+WITH RECURSIVE s USING KEY (p) AS (
+    SELECT p, w, t, false AS done FROM tk
     UNION ALL
-    SELECT w, p, CASE WHEN hit THEN m ELSE t END, best IS NULL FROM (
+    SELECT p, w, CASE WHEN eaten THEN -1 WHEN hit THEN m ELSE t END AS t, best IS NULL OR eaten AS done FROM (
         SELECT *, coalesce(lag(hit) OVER o, false) AS eaten FROM (
-            SELECT *, m IS NOT NULL AND m = best AND CASE WHEN tame THEN run % 2 = 0 ELSE p = first END AS hit FROM (
-                SELECT *, min(CASE WHEN m = best THEN p END) OVER (PARTITION BY w) AS first,
-                    n - max(CASE WHEN m IS DISTINCT FROM best THEN n END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING) - 1 AS run0,
-                    coalesce(run0, n) AS run
-                FROM (
-                    SELECT a.*, g.m, g.tame, min(g.m) OVER (PARTITION BY w) AS best
-                    FROM (SELECT w, p, t, lead(t) OVER o AS nt, row_number() OVER o - 1 AS n FROM s WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY p)) a
-                    LEFT JOIN merges g ON g.k = ((a.t::BIGINT << 32) | a.nt::BIGINT))))
-        WINDOW o AS (PARTITION BY w ORDER BY p)
-    ) WHERE NOT eaten
+            SELECT *, m IS NOT NULL AND coalesce(max(CASE WHEN low < m OR wild AND before <= m THEN n END) OVER o, -1) < first AND (n - first) % 2 = 0 AS hit FROM (
+                SELECT *, max(CASE WHEN m IS DISTINCT FROM left_m THEN n END) OVER o AS first FROM (
+                    SELECT a.p, a.w, a.t, a.n, g.m, coalesce(g.wild, false) AS wild,
+                        lag(g.m) OVER o AS left_m,
+                        min(g.m) OVER (PARTITION BY w) AS best,
+                        min(g.m) OVER (PARTITION BY w ORDER BY a.p RANGE BETWEEN coalesce(g.lx, 0) PRECEDING AND coalesce(g.rr, 0) FOLLOWING) AS low,
+                        min(g.m) OVER (PARTITION BY w ORDER BY a.p RANGE BETWEEN greatest(coalesce(g.lx, 0), 1) PRECEDING AND 1 PRECEDING) AS before
+                    FROM (SELECT p, w, t, lead(t) OVER o AS nt, row_number() OVER o AS n FROM s WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY p)) a
+                    LEFT JOIN merges g ON g.k = ((a.t::BIGINT << 32) | a.nt::BIGINT)
+                    WINDOW o AS (PARTITION BY w ORDER BY a.p))
+                WINDOW o AS (PARTITION BY w ORDER BY p))
+            WINDOW o AS (PARTITION BY w ORDER BY p))
+        WINDOW o AS (PARTITION BY w ORDER BY p))
 )
-SELECT w, list(t ORDER BY p) AS ids FROM s WHERE done GROUP BY w
+SELECT w, list(t ORDER BY p) AS ids FROM s WHERE t >= 0 GROUP BY w
 """
 
 _DECODE = "SELECT d, list(b ORDER BY i) AS parts FROM ids JOIN vocab USING (id) GROUP BY d"
@@ -118,26 +104,37 @@ class PieceCache:
         return [b"".join(map(get, x)) for x in lists]
 
 
+def _reach(token: np.ndarray, others: np.ndarray, made: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each merge: the most bytes (size) that a merge of its rank or less has beside the merge's token where `others` is that token."""
+    order = np.lexsort((made, others))
+    group = np.cumsum(np.concatenate([[0], np.diff(others[order]) != 0])) << 32
+    most = np.maximum.accumulate(group + size[order]) - group
+    at = np.searchsorted(others[order] << 32 | made[order], token << 32 | made, side="right") - 1
+    return np.where((at >= 0) & (others[order][at] == token), most[at], 0).astype(np.int32)
+
+
 class Codec:
     """A vocabulary of ranks in DuckDB."""
 
     def __init__(self, ranks: bytes, pattern: str = SPLIT) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.split = splitter(pattern)
-        left, right, made = [], [], []
+        left, right, made, at = [], [], [], []
         for whole, rank in self.ranks.items():
             for i in range(1, len(whole)):
                 a, b = self.ranks.get(whole[:i]), self.ranks.get(whole[i:])
                 if a is not None and b is not None:
-                    left.append(a), right.append(b), made.append(rank)
+                    left.append(a), right.append(b), made.append(rank), at.append((i, len(whole) - i))
         left, right, made = (np.array(x, np.int64) for x in (left, right, made))
+        size = np.array(at, np.int64).reshape(-1, 2)
         wild = np.union1d(left[made < left], right[made < right])
+        lx, ry = _reach(left, right, made, size[:, 0]), _reach(right, left, made, size[:, 1])
         self.single = np.full(256, -1, np.int32)
         for whole, rank in self.ranks.items():
             if len(whole) == 1:
                 self.single[whole[0]] = rank
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
-        self._table("merges", {"k": (left << 32) | right, "m": made.astype(np.int32), "tame": ~np.isin(made, wild)})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": ""})  # no spill to a local folder
+        self._table("merges", {"k": (left << 32) | right, "m": made.astype(np.int32), "lx": lx, "rr": np.where(ry > 0, size.sum(axis=1) + ry - 1, 0), "wild": np.isin(made, wild)})
         self._table("vocab", {"id": np.array(list(self.ranks.values()), np.int32), "b": pa.array(list(self.ranks), pa.binary())})
         self.cache = PieceCache(lambda new: self.pieces([x.encode("utf-8") for x in new]))
 
@@ -155,32 +152,34 @@ class Codec:
     def pieces(self, found: list[bytes]) -> list[bytes]:
         """The ids of each nonempty piece, as little-endian unsigned 32-bit integers."""
         out = [b""] * len(found)
-        short = [i for i, x in enumerate(found) if len(x) <= LONG]
-        for at in range(0, len(short), PIECES):
-            self._contract([(i, found[i]) for i in short[at : at + PIECES]], _SHORT, out)
+        at = total = 0
         for i, x in enumerate(found):
-            if len(x) > LONG:
-                self._contract([(i, x)], _LONG, out)
+            if total and total + len(x) > BYTES:
+                self._contract(found[at:i], at, out)
+                at, total = i, 0
+            total += len(x)
+        if total:
+            self._contract(found[at:], at, out)
         return out
 
-    def _contract(self, some: list[tuple[int, bytes]], sql: str, out: list[bytes]) -> None:
-        sizes = np.array([len(x) for _, x in some])
+    def _contract(self, some: list[bytes], first: int, out: list[bytes]) -> None:
+        sizes = np.array([len(x) for x in some])
         n = int(sizes.sum())
-        t = self.single[np.frombuffer(b"".join(x for _, x in some), np.uint8)]
+        t = self.single[np.frombuffer(b"".join(some), np.uint8)]
         if (t < 0).any():
             raise ValueError("the vocabulary lacks a byte of the text")
-        rest = np.full(n, -1, np.int32)
-        rest[:-1] = t[1:]
-        rest[np.cumsum(sizes) - 1] = -1
-        at = np.arange(n, dtype=np.int32)
-        rows = {"w": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "p": at, "np": at + np.int32(1), "t": t, "nt": rest}
-        made = self._query("tk", rows, sql)
+        rows = {"w": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "p": np.arange(n, dtype=np.int32), "t": t}
+        if n > 2 * BYTES:  # a piece of that length needs more, and only while it is at work
+            self.con.execute(f"SET memory_limit = '{MEMORY // BYTES * n}B'")
+        made = self._query("tk", rows, _ENCODE)
+        if n > 2 * BYTES:
+            self.con.execute(f"SET memory_limit = '{MEMORY}B'")
         for batch in made.to_batches():
             lists = batch.column("ids")
             raw = lists.values.to_numpy().astype("<u4").tobytes()
             at = (lists.offsets.to_numpy() * 4).tolist()
             for w, i, j in zip(batch.column("w").to_pylist(), at, at[1:]):
-                out[some[w][0]] = raw[i:j]
+                out[first + w] = raw[i:j]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         lists = [self.split(t) if t else [] for t in texts]
@@ -209,11 +208,13 @@ class Codec:
 
 
 _CODECS: dict[tuple[bytes, str], Codec] = {}
+kept(_CODECS)
 
 
 def codec(ranks: bytes, pattern: str = SPLIT) -> Codec:
     key = (hashlib.sha256(ranks).digest(), pattern)
     if key not in _CODECS:
+        alone(_CODECS)
         _CODECS[key] = Codec(ranks, pattern)
     return _CODECS[key]
 
@@ -260,7 +261,11 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str = SPLIT, keep_ids: bool = False) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids; the ids are decoded as read."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids; the ids are decoded as read.
+
+    A null or empty text has no ids and the digests of nothing. Rows are taken each for itself, so
+    repeated and null doc_ids stay as they are; an empty table gives an empty result.
+    """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
     def run(batches):

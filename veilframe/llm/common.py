@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +69,26 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.translate(_LOWER) if lower else raw).split()
 
 
+_KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> None:
+    """Make a worker's cache known, so that another operator's stage in the same worker can drop it."""
+    _KEPT.append(cache)
+
+
+def alone(*own: dict) -> None:
+    """Empty all known caches but a stage's own, and give their memory back: one Python worker serves many stages."""
+    others = [x for x in _KEPT if x and not any(x is y for y in own)]
+    for x in others:
+        x.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHash(dict):
     """64-bit hash of each word, kept while there are few enough."""
 

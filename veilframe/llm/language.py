@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone, kept
+
 SIZE = 1024
 GRAM = 3
 KNOWN = 16_000  # n-gram vectors kept in a worker, a byte a coordinate
@@ -72,13 +74,15 @@ class Vectors:
         return out
 
 
-_VECTORS: list[Vectors] = []
+_VECTORS: dict[int, Vectors] = {}
+kept(_VECTORS)
 
 
 def vectors() -> Vectors:
-    if not _VECTORS:
-        _VECTORS.append(Vectors())
-    return _VECTORS[0]
+    if GRAM not in _VECTORS:
+        alone(_VECTORS)
+        _VECTORS[GRAM] = Vectors()
+    return _VECTORS[GRAM]
 
 
 def bundles(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

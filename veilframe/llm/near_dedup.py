@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, components, mix, rolling, words, written
+from .common import WordHash, alone, components, kept, mix, rolling, words, written
 
 WIDTH = 64  # coordinates of the signature that trees branch on
 TREES = 12
@@ -47,6 +47,7 @@ STRONG = 0.9  # share of the differences a link may have below which a candidate
 _A = (np.random.default_rng(4).integers(1, 2**63, WIDTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = np.random.default_rng(5).integers(0, 2**63, WIDTH, dtype=np.uint64)
 _HASH = WordHash()
+kept(_HASH)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -120,6 +121,7 @@ def alike(a: Sketches, na: np.ndarray, i: np.ndarray, b: Sketches, nb: np.ndarra
 
 def _features(k: int):
     def run(batches):
+        alone(_HASH)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for at in range(0, len(b), 512):

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone, kept
+
 #: Fixed values of the base: kinds in order, their patterns, and the least length of what counts.
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -81,6 +83,7 @@ class _Flags(dict):
 
 
 _FLAGS = _Flags()
+kept(_FLAGS)
 
 
 def may_be_secret(tokens: list[str]) -> list[int]:
@@ -317,6 +320,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or trained()
 
     def run(batches):
+        alone(_FLAGS)
         for b in batches:
             counts, sha, lines = [[], [], []], [], []
             for t in b.column(1):
@@ -348,6 +352,7 @@ def redact(docs: DataFrame, field: Field | None = None, by: str = "[SECRET]") ->
     at = docs.columns.index("text")
 
     def run(batches):
+        alone(_FLAGS)
         for b in batches:
             new = pa.array([mask(t.as_py(), field, by) for t in b.column(at)], b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), new)

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, rolling, words, written
+from .common import WordHash, kept, rolling, words, written
 
 MINIMISER = 12
 KINDS = 4096  # different packed strings of a bucket that one task takes apart; with 24 windows each under 50 MB
 _HASH = WordHash()
+kept(_HASH)
 
 
 def super_kmers(h: np.ndarray, width: int, m: int):
