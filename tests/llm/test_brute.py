@@ -146,18 +146,39 @@ def edits(pattern, text):
 def test_leaks_equal_all_alignments():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
-    items = [(i, " ".join(word() for _ in range(rng.randrange(6, 30)))) for i in range(12)]
+    items = [(i, " ".join(word() for _ in range(rng.randrange((1, 2, 4, 8)[i % 4], 30 if i % 4 > 1 else 5)))) for i in range(12)]
     index = decontaminate.Index(items, 0.1, 8)
     for n in range(80):
         i, p = items[n % 12]
-        s, e = list(p), decontaminate.budget(len(p), 0.1, 8)
+        s, e = list(p), decontaminate.budget(len(p), 0.1)
         for _ in range(rng.randrange(e + 4)):
-            at = rng.randrange(len(s))
+            at = rng.randrange(len(s) + 1)
             s[at : at + rng.randrange(2)] = rng.choice(["a", "", "xy"])
         text = decontaminate.normal(" ".join(word() for _ in range(9)) + " " + "".join(s) + " " + " ".join(word() for _ in range(9)))
         got = {x: d for x, _, _, d in index.matches(decontaminate.codes(text))}
-        want = {x: d for x, (_, q) in enumerate(items) if (d := edits(q, text)) <= decontaminate.budget(len(q), 0.1, 8)}
-        assert got == want
+        want = {x: d for x, (_, q) in enumerate(items) if len(q) >= 8 and (d := edits(q, text)) <= decontaminate.budget(len(q), 0.1)}
+        assert got == want | {x: 0 for x, (_, q) in enumerate(items) if len(q) < 8 and f" {q} " in f" {text} "}
+
+
+def test_leaks_have_their_places(spark):
+    """start, end and edits of planted copies, each in its own surroundings, and an item that comes twice."""
+    items = [(1, "How many moons does the planet Mars have?"), (2, "yes it is"), (3, "It is 42"), (3, "How many moons does the planet Mars have?")]
+    texts = ["Before. HOW MANY moons -- does the planet Mars have?! After", "x How many mooons does the planet Mars have y How many moons does the planet Mars have z", "so it is 42.", "it is 421", "oh YES, it is", "yesit is"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end], r.edits) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    whole = "How many moons does the planet Mars have"
+    assert got == sorted([*((0, i, "HOW MANY moons -- does the planet Mars have", 0) for i in (1, 3)), *((1, i, t, e) for i in (1, 3) for t, e in ((whole, 0), ("How many mooons does the planet Mars have", 1))), (2, 3, "it is 42", 0), (3, 3, "it is 421", 0), (4, 2, "YES, it is", 0)])
+    kept = decontaminate.without_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(5, "yesit is")]
+
+
+def test_leaks_of_one_letter():
+    """Hits by the million are counted in turns."""
+    import resource
+
+    index, before = decontaminate.Index([(1, "a" * 300)], 0.1, 8), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = index.matches(decontaminate.codes("a" * 80_000))
+    assert len(found) >= 200 and all(x[3] == 0 for x in found) and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
 
 
 def test_secret_base_equals_plain_patterns():
