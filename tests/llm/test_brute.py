@@ -127,6 +127,41 @@ def test_token_files_equal_the_library(spark):
     assert token_files.Reader(files.folder).get(r.doc_id).tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoders_equal_the_library(name):
+    """Strings of special tokens, a model that splits and normalises otherwise, and two widths in one worker."""
+    from tokenizers import Tokenizer
+
+    from veilframe.llm.queries import TOKENIZERS
+
+    with open(f"{TOKENIZERS}/{name}", encoding="utf-8") as f:
+        model = f.read()
+    t = Tokenizer.from_str(model)
+    texts = ["abc <|endoftext|> def", "<|startoftext|>", "Plain  TEXT, it's 42\u00b2", None, "", "x <|endoftext|><|endoftext|>\n", "\u00e9t\u00e9 \u4e2d\u6587"]
+    for width in (2, 4, 2):
+        got = token_files._encoder(model, width).encode(texts)
+        assert [np.frombuffer(x, f"<u{width}").tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_token_files_with_a_hot_id(spark):
+    """Rows of one id over several shards, null ids, and a file left by an earlier attempt."""
+    from veilframe.llm.queries import TOKENIZERS
+
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as f:
+        model = f.read()
+    rows = [(5, f"row {i}") for i in range(400)] + [(None, f"none {i}") for i in range(50)] + [(i, "one") for i in range(6, 20)]
+    files = token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), model, shards=8)
+    assert sum(n > 0 for n in token_files.layout(files.folder)["shards"]) > 4
+    r = token_files.read_tokens(files).orderBy("start").collect()
+    assert [x.doc_id for x in r] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i) and all(b.start == a.start + a.n_tokens for a, b in zip(r, r[1:]))
+    reader = token_files.Reader(files.folder)
+    assert len({reader.get(5, c).tobytes() for c in range(400)}) == 400 and len({reader.get(None, c).tobytes() for c in range(50)}) == 50
+    with pytest.raises(KeyError):
+        reader.get(5, 400)
+    token_files._put(files.folder, "shards.json", [b"again"])
+    token_files._put(files.folder, "shards.json", [b"and again"])
+
+
 def test_perfect_hash_is_minimal():
     h = token_files.key_hash(np.arange(5000), np.zeros(5000, np.int64))
     assert sorted(token_files.PerfectHash.build(h).slots(h).tolist()) == list(range(5000))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat_quotes, html_extract, language, quality_rules, secrets
@@ -14,7 +15,7 @@ from .substring_dedup import substring_dedup
 from .token_files import read_tokens, write_tokens
 
 #: Where the public vocabularies lie; the driver reads them and ships their bytes.
-TOKENIZERS = os.environ.get("VEILFRAME_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("VEILFRAME_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,8 +15,12 @@ and renamed, so a task that is run again leaves the same files.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import itertools
 import json
 import os
+import re
 import struct
 import sys
 import uuid
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PieceCache, _slices, splitter
-from .common import mix, new_folder, written
+from .common import alone, kept, mix, new_folder, written
 
 GAMMA = 2  # bits a key of a level
 BUCKET = 50_000  # keys of an index file, about
@@ -45,14 +49,27 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def _put(folder: str, name: str, chunks) -> None:
-    """Write a file of the folder at once: under another name first, then renamed."""
+@contextlib.contextmanager
+def _file(folder: str, name: str):
+    """A file of the folder, written under a name of this attempt and renamed at the end; what an earlier attempt left under the name goes."""
     fs, root = _open(folder)
     own = f"{root}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as f:
+    try:
+        with fs.open_output_stream(own) as f:
+            yield f
+        if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+            fs.delete_file(f"{root}/{name}")
+        fs.move(own, f"{root}/{name}")
+    except BaseException:
+        with contextlib.suppress(OSError):
+            fs.delete_file(own)
+        raise
+
+
+def _put(folder: str, name: str, chunks) -> None:
+    with _file(folder, name) as f:
         for x in chunks:
             f.write(x)
-    fs.move(own, f"{root}/{name}")
 
 
 def key_hash(doc_id: np.ndarray, copy: np.ndarray) -> np.ndarray:
@@ -126,22 +143,35 @@ def read_index(raw: bytes) -> tuple[PerfectHash, np.ndarray]:
     return PerfectHash(levels), np.frombuffer(raw, _ENTRY, n, at)
 
 
-_ENCODERS: dict[int, object] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+kept(_ENCODERS)
+
+
+def pieces_alone(model: dict) -> bool:
+    """Whether a tokenizers model is known to encode each match of bpe.SPLIT by itself, whatever stands around it."""
+    before, bpe = model.get("pre_tokenizer") or {}, model.get("model") or {}
+    plain = not any(bpe.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
+    whole = any(model.get(x) for x in ("normalizer", "truncation", "padding"))
+    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and bpe.get("type") == "BPE" and plain and not whole
 
 
 class Encoder:
-    """The tokenizers library over the pieces of its split pattern, each distinct piece once while it stays cached.
+    """The tokenizers library, called as encode(text, add_special_tokens=False).
 
-    A byte-level vocabulary encodes each match of its pattern by itself, so a text's ids are its pieces' ids joined.
+    A byte-level vocabulary encodes each match of its pattern by itself, so a text's ids are its
+    pieces' ids joined, and each distinct piece is encoded once while it stays cached. Texts with the
+    string of an added token, and all texts of other models, go through the library whole.
     """
 
     def __init__(self, model: str, width: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        known = json.loads(model)
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
-        self.split, self.kind = splitter(), {2: "H", 4: "I"}[width]
+        added = [re.escape(x["content"]) for x in known.get("added_tokens") or [] if x["content"]]
+        self.added = re.compile("|".join(added)).search if added else lambda text: None
+        self.split, self.kind, self.alone = splitter(), {2: "H", 4: "I"}[width], pieces_alone(known)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets, where there is such a call
         self.cache = PieceCache(self.pieces)
 
@@ -156,36 +186,43 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return self.cache.join([self.split(t) if t else [] for t in texts])
+        whole = [i for i, t in enumerate(texts) if t and (not self.alone or self.added(t))]
+        given = set(whole)
+        out = self.cache.join([self.split(t) if t and i not in given else [] for i, t in enumerate(texts)])
+        for i in whole:
+            out[i] = self.pieces([texts[i]])[0]
+        return out
+
+
+def _encoder(model: str, width: int) -> Encoder:
+    key = (hashlib.sha256(model.encode()).hexdigest(), width)
+    if key not in _ENCODERS:
+        alone()
+        _ENCODERS[key] = Encoder(model, width)
+    return _ENCODERS[key]
 
 
 def _writer(folder: str, model: str, end_id: int, width: int):
     def run(batches):
-        if hash(model) not in _ENCODERS:
-            _ENCODERS[hash(model)] = Encoder(model, width)
-        encoder, shard, rows = _ENCODERS[hash(model)], TaskContext.get().partitionId(), []
+        encoder, shard = _encoder(model, width), TaskContext.get().partitionId()
         end = np.array([end_id], f"<u{width}").tobytes()
-
-        def payload():
-            at, last, copy = 0, object(), 0
-            for b in batches:
+        first = next((b for b in batches if len(b)), None)
+        if first is None:
+            return
+        at, last, copy = 0, object(), 0
+        with _file(folder, f"shard-{shard:05d}.ids") as f:
+            for b in itertools.chain([first], batches):
                 for part in _slices(b):
-                    ids, ns, copies, offsets = part.column(0).to_pylist(), [], [], []
-                    for doc_id, x in zip(ids, encoder.encode(part.column(1).to_pylist())):
+                    ns, copies, offsets = [], [], []
+                    for doc_id, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                         copy = copy + 1 if doc_id == last else 0
                         last = doc_id
                         n = len(x) // width + 1
                         ns.append(n), copies.append(copy), offsets.append(at)
                         at += n
-                        yield x
-                        yield end
-                    rows.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(copies, pa.int64()), pa.array([shard] * len(ns), pa.int64()), pa.array(offsets, pa.int64()), pa.array(ns, pa.int64())], names=["doc_id", "copy", "shard", "offset", "n"]))
-
-        chunks = payload()
-        first = next(chunks, None)
-        if first is not None:
-            _put(folder, f"shard-{shard:05d}.ids", (x for part in ((first,), chunks) for x in part))
-        yield from rows
+                        f.write(x)
+                        f.write(end)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(copies, pa.int64()), pa.array([shard] * len(ns), pa.int64()), pa.array(offsets, pa.int64()), pa.array(ns, pa.int64())], names=["doc_id", "copy", "shard", "offset", "n"])
 
     return run
 
@@ -218,6 +255,22 @@ def _index(folder: str):
     return run
 
 
+def _numbered(made: DataFrame, ends: list) -> DataFrame:
+    """Count the copies of a doc_id on from one shard to the next. ends: of each shard, in order, its first and its last row."""
+    before, more = None, []
+    for r in ends:
+        if before is not None and r.first.doc_id == before[0]:
+            more.append((r.shard, before[1] + 1))
+        carried = before[1] + 1 if before is not None and r.last.doc_id == r.first.doc_id == before[0] else 0
+        before = r.last.doc_id, r.last["copy"] + carried
+    if not more:
+        return made
+    firsts = {r.shard: r.first.doc_id for r in ends}
+    base = made.sparkSession.createDataFrame([(s, firsts[s], n) for s, n in more], "shard long, first long, base long")
+    out = made.join(F.broadcast(base), "shard", "left")  # at most a row a shard
+    return out.select("doc_id", (F.col("copy") + F.when(F.col("base").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first")), F.col("base")).otherwise(0)).alias("copy"), "shard", "offset", "n")
+
+
 @dataclass
 class TokenFiles:
     """A written dataset: its folder and the keys (doc_id, copy) it holds."""
@@ -240,15 +293,18 @@ def write_tokens(docs: DataFrame, model: str, end_id: int = 0, folder: str | Non
     total = rows.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).first()
     shards = shards or max(1, spark.sparkContext.defaultParallelism, -(-(total.chars or 0) // shard_chars))
     width = 2 if max((*json.loads(model)["model"]["vocab"].values(), end_id)) < 1 << 16 else 4
-    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))  # rows of one doc_id can fill several shards
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
     schema = "doc_id long, copy long, shard long, offset long, n long"
     made = written(dealt.mapInArrow(_writer(folder, model, end_id, width), schema), "token-rows")
+    ends = made.groupBy("shard").agg(F.sum("n").alias("n"), F.min_by(F.struct("doc_id"), "offset").alias("first"), F.max_by(F.struct("doc_id", "copy"), "offset").alias("last")).collect()  # a row a shard
+    made = _numbered(made, sorted(ends, key=lambda r: r.shard))
     buckets = max(1, -(-total.n // BUCKET))
     keyed = made.mapInArrow(_bucketed(buckets), "bucket long, id long, copy long, shard long, offset long, n long")
     indexed = keyed.groupBy("bucket").applyInArrow(_index(folder), "bucket long, n long").agg(F.sum("n")).first()[0] or 0
     if indexed != total.n:
         raise RuntimeError(f"{indexed} of {total.n} documents are in the index")
-    sizes = {r.shard: r.n for r in made.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
+    sizes = {r.shard: r.n for r in ends}
     last = max(sizes, default=-1)
     _put(folder, "shards.json", [json.dumps({"width": width, "buckets": buckets, "shards": [sizes.get(i, 0) for i in range(last + 1)]}).encode()])
     return TokenFiles(folder, made.select("doc_id", "copy"))
