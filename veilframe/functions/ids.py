@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 #: Four distinct letters then four distinct digits: 26*25*24*23 * 10*9*8*7 codes.
 RADICES = (26, 25, 24, 23, 10, 9, 8, 7)
 CODES = 26 * 25 * 24 * 23 * 10 * 9 * 8 * 7
-_HALF = 1 << 16
+_HALF = 42_525  # its square is the least one that holds all codes, so almost every number is one
+_WALK = 3
 ROUNDS = 4
 
 
 def _feistel(n: Column, secret: str) -> Column:
-    """A keyed permutation of 32-bit numbers. Rounds are a fold, so each half is worked out once."""
+    """A keyed permutation of the numbers below _HALF squared. Rounds are a fold, so each half is worked out once."""
     start = F.struct(F.floor(n / _HALF).cast("long").alias("left"), F.pmod(n, F.lit(_HALF)).cast("long").alias("right"))
 
     def step(a: Column, i: Column) -> Column:
         key = F.sha2(F.concat(F.lit(f"{secret}|"), i.cast("string"), F.lit("|"), a["right"].cast("string")), 256)
-        return F.struct(a["right"].alias("left"), a["left"].bitwiseXOR(F.conv(F.substring(key, 1, 4), 16, 10).cast("long")).alias("right"))
+        return F.struct(a["right"].alias("left"), F.pmod(a["left"] + F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(_HALF)).alias("right"))
 
     return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, step, lambda a: a["left"] * _HALF + a["right"])
 
@@ -60,8 +61,8 @@ def rank(code: str) -> int:
 
 
 def permuted(n: Column, secret: str) -> Column:
-    """A keyed permutation of [0, CODES): numbers that leave the range walk on, which ends within few steps. Null past 24."""
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(24)), _feistel(n, secret), lambda a, _: F.when(a < CODES, a).otherwise(_feistel(a, secret)))
+    """A keyed permutation of [0, CODES): numbers that leave the range, about one in 76,000, walk on. Null past three steps; callers leave such numbers out."""
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), _feistel(n, secret), lambda a, _: F.when(a < CODES, a).otherwise(_feistel(a, secret)))
     return F.when(out < CODES, out)
 
 
@@ -75,10 +76,10 @@ def new_uid(secret: str, *parts: Column) -> Column:
 def permuted_number(n: int, secret: str) -> int:
     """permuted() on the driver, for tests."""
     x = n
-    for _ in range(25):
+    for _ in range(_WALK + 1):
         left, right = x // _HALF, x % _HALF
         for i in range(ROUNDS):
-            left, right = right, left ^ int(hashlib.sha256(f"{secret}|{i}|{right}".encode()).hexdigest()[:4], 16)
+            left, right = right, (left + int(hashlib.sha256(f"{secret}|{i}|{right}".encode()).hexdigest()[:8], 16)) % _HALF
         x = left * _HALF + right
         if x < CODES:
             return x

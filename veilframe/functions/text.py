@@ -28,6 +28,12 @@ def literal_pattern(value: Column) -> Column:
     return F.concat(F.lit("(?iu)"), F.regexp_replace(quoted, r"(?U)\s+", "\\\\E\\\\s+\\\\Q"))
 
 
+def whole_value_pattern(value: Column) -> Column:
+    """literal_pattern that meets the value only where it doesn't go on in letters or figures: `1` is no part of `12`."""
+    edge = lambda at, look: F.when(value.rlike(r"(?U)^\w" if at else r"(?U)\w$"), F.lit(look)).otherwise("")
+    return F.concat(edge(True, r"(?<![\p{L}\p{N}])"), literal_pattern(value), edge(False, r"(?![\p{L}\p{N}])"))
+
+
 def literal_replacement(value: Column) -> Column:
     """A replacement that stands for itself."""
     return F.regexp_replace(value, r"([\\$])", r"\\$1")

@@ -37,11 +37,13 @@ def assign(arrivals: DataFrame, mapping: DataFrame, secret: str) -> DataFrame:
     rows = mapping.count()
     need = new.count()
     reserved = mapping.select(strip("anon_id").alias("anon_id")).where("anon_id <> ''").distinct()
-    # Counters from the table's rows on; as many more as ids could be taken already.
+    # Counters from the table's rows on; as many more as ids could be taken already, and some for counters that have no id.
     taken = reserved.count()
-    free = mapping.sparkSession.range(rows, rows + need + taken).select(F.col("id").alias("counter"), unrank(permuted(F.col("id"), secret)).alias("anon_id"))
-    free = numbered(free.join(reserved, "anon_id", "left_anti"), F.col("counter")).where(F.col("n") <= need)
+    free = mapping.sparkSession.range(rows, rows + need + taken + 8).select(F.col("id").alias("counter"), unrank(permuted(F.col("id"), secret)).alias("anon_id"))
+    free = numbered(free.where("anon_id IS NOT NULL").join(reserved, "anon_id", "left_anti"), F.col("counter")).where(F.col("n") <= need)
     fresh = new.join(free.select("n", "anon_id"), "n")
+    if fresh.count() != need:
+        raise RuntimeError("there are not enough free ids")
     return old.unionByName(fresh.select((F.col("n") + rows).alias("s_no"), "key", "anon_id", "name", F.lit(True).alias("is_new")))
 
 
@@ -49,7 +51,7 @@ def numbered(rows: DataFrame, order: Column) -> DataFrame:
     """rows with n, 1 and up by order, without gathering them: counts by range partition, then places within."""
     dealt = rows.select("*", order.alias("__o")).repartitionByRange(F.col("__o")).withColumn("__p", F.spark_partition_id())
     dealt = dealt.sortWithinPartitions("__o")
-    dealt = kept(dealt)  # partition ids must not be dealt anew between the two uses
+    dealt = kept(dealt, sure=True)  # partition ids must not be dealt anew between the two uses
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("__k"))
     before = sizes.select("__p", (F.sum("__k").over(Window.orderBy("__p")) - F.col("__k")).alias("__b"))  # a row a partition
     own = Window.partitionBy("__p").orderBy("__o")

@@ -6,24 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.geometry import touches
-from veilframe.functions.text import literal_pattern, literal_replacement
+from veilframe.functions.text import literal_pattern, literal_replacement, whole_value_pattern
 from veilframe.rules import BARCODE_FONTS
 
 
-def hits(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, page_no, value, hits) of every target of a document on each of its pages."""
+def hits(pages: DataFrame, targets: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, page_no, value, hits) of every target of a document on each of its pages. whole: only where letters or figures don't go on."""
+    pattern = whole_value_pattern if whole else literal_pattern
     both = pages.select("doc_id", "page_no", "text").join(targets.select("doc_id", "value").distinct(), "doc_id")
-    return both.select("doc_id", "page_no", "value", F.regexp_count("text", literal_pattern(F.col("value"))).cast("long").alias("hits"))
+    return both.select("doc_id", "page_no", "value", F.regexp_count("text", pattern(F.col("value"))).cast("long").alias("hits"))
 
 
 def redacted(pages: DataFrame, targets: DataFrame, subjects: DataFrame, stamp: bool = True) -> DataFrame:
     """pages (doc_id, page_no, text) with targets (doc_id, value, action) blanked, or replaced by the document's subject id.
 
-    subjects: doc_id, anon_id. Longer values go first, so none leaves a part of another. With stamp
+    subjects: doc_id, anon_id. Longer values go first, so none leaves a part of another, and a value that is part of a longer figure or word stays there; guard(whole=True) refuses pages that have it only so. With stamp
     the subject id is written below the page. Targets of a document are a few fields, gathered by
     document.
     """
-    order = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("k"), literal_pattern(F.col("value")).alias("p"), "action")))
+    order = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("k"), whole_value_pattern(F.col("value")).alias("p"), "action")))
     t = targets.groupBy("doc_id").agg(order.alias("targets"))
     d = pages.join(t, "doc_id", "left").join(subjects, "doc_id", "left")
     start = F.coalesce(F.col("text"), F.lit(""))
@@ -33,9 +34,9 @@ def redacted(pages: DataFrame, targets: DataFrame, subjects: DataFrame, stamp: b
     return d.select("doc_id", "page_no", text.alias("text"))
 
 
-def guard(pages: DataFrame, targets: DataFrame) -> DataFrame:
+def guard(pages: DataFrame, targets: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, value, missing): targets with no hit on some page, and those pages in order. Any row refuses the document."""
-    found = hits(pages, targets)
+    found = hits(pages, targets, whole)
     return found.groupBy("doc_id", "value").agg(F.array_sort(F.collect_list(F.when(F.col("hits") < 1, F.col("page_no")))).alias("missing")).where(F.size("missing") > 0)
 
 
@@ -49,7 +50,7 @@ def coded_spans(spans: DataFrame, needles: tuple[str, ...] = BARCODE_FONTS) -> D
     """Spans whose font's name holds any of the needles, in any case."""
     found = F.lit(False)
     for x in needles:
-        found = found | F.lower("font").contains(x)
+        found = found | F.lower("font").contains(x.lower())
     return spans.where(found)
 
 

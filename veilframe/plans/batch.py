@@ -16,16 +16,17 @@ from veilframe.sources import dicom
 
 @dataclass
 class Run:
-    """Frames of one run. Nothing is written until the caller writes `pages` and `images`, then `mapping`."""
+    """Frames of one run. Nothing is written until the caller writes the plan's files; the mapping to keep is then recorded()."""
 
     verdicts: DataFrame  # key, total, already, fresh, verdict
     subjects: DataFrame  # key, anon_id, is_new
-    refused: DataFrame  # path, reason
+    refused: DataFrame  # path, reason (an unreadable file with its error)
     plan: DataFrame  # src, out, category, anon_id
     pages: DataFrame  # doc_id, page_no, text
     incomplete: DataFrame  # doc_id, value, missing: refused by the guard
     conflicts: DataFrame  # files that another subject had first
-    mapping: DataFrame  # the mapping after the run
+    mapping: DataFrame  # the mapping after the run, if all of the plan gets written
+    done: DataFrame  # key, fp, out: what becomes known once it is written
 
 
 def run_batch(files: DataFrame, pages: DataFrame, words: DataFrame, images: DataFrame, known: DataFrame, listing: DataFrame, root: str, study: str, secret: str) -> Run:
@@ -36,8 +37,16 @@ def run_batch(files: DataFrame, pages: DataFrame, words: DataFrame, images: Data
     whose files are all known and written is left out of the plan.
     """
     docs = files.where("lower(path) LIKE '%.pdf'").select(F.col("path").alias("doc_id"))
+    if "error" in pages.columns:  # as page_texts() gives them
+        broken = pages.where("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("error"))
+        pages = pages.where("error IS NULL").drop("error")
+    else:
+        broken = docs.select("doc_id", F.lit(None).cast("string").alias("error")).limit(0)
     full = classify.full_page_images(pages, images)
-    kinds = classify.kinds(docs, pages.join(full, ["doc_id", "page_no"]), study)
+    kinds = classify.kinds(docs, pages.join(full, ["doc_id", "page_no"]), study).join(broken, "doc_id", "left")
+    # Only a file that was read can be a scanned form.
+    unread = F.col("error").isNotNull() | (F.col("page_count") == 0)
+    kinds = kinds.withColumn("kind", F.when(unread, "unknown").otherwise(F.col("kind"))).withColumn("error", F.when(unread, F.concat(F.lit("unreadable: "), F.coalesce("error", F.lit("no pages")))))
     found = kinds.join(extract.fields_a(pages), "doc_id", "left").join(extract.fields_b(words).withColumnRenamed("name", "name_b"), "doc_id", "left")
     found = found.withColumnRenamed("doc_id", "path").withColumn("name", F.coalesce("patient_name", "name_b"))
     f = files.select("path", "package", "parent", fingerprints.fingerprint(F.col("content"), F.col("path")).alias("fp")).join(found, "path", "left")
@@ -45,7 +54,7 @@ def run_batch(files: DataFrame, pages: DataFrame, words: DataFrame, images: Data
     own = F.col("key") if study == "kfre" else F.col("package")
     f = f.withColumn("unit", F.coalesce(own, F.col("package")))
     units = identity.packages(f.select(F.col("unit").alias("package"), "key", "name")).withColumnRenamed("package", "unit")
-    bad = F.coalesce(F.col("refusal"), F.when(F.col("status") != "ok", F.col("status")))
+    bad = F.coalesce(F.col("error"), F.col("refusal"), F.when(F.col("status") != "ok", F.col("status")))
     f = f.drop("key", "name").join(units.select("unit", "key", "name", "status"), "unit").withColumn("reason", bad)
     f = kept(f)
     stopped = f.where("reason IS NOT NULL").select("unit").distinct() if study == "egfr" else f.where("reason IS NOT NULL AND kind <> 'scanned'").select("unit").distinct()
@@ -65,11 +74,20 @@ def run_batch(files: DataFrame, pages: DataFrame, words: DataFrame, images: Data
     targets = kept(extract.targets_a(extract.fields_a(pages)).unionByName(extract.targets_b(extract.fields_b(words))))
     reports = work.where("kind IN ('A', 'B')").select(F.col("path").alias("doc_id"), "anon_id")
     own_pages, own_targets = pages.join(reports.select("doc_id"), "doc_id", "left_semi"), targets.join(reports.select("doc_id"), "doc_id", "left_semi")
-    incomplete = kept(redact.guard(own_pages, own_targets))
+    incomplete = kept(redact.guard(own_pages, own_targets, whole=True))
     whole = own_pages.join(incomplete.select("doc_id").distinct(), "doc_id", "left_anti")
     redacted = redact.redacted(whole, own_targets, reports)
-    done = work.join(incomplete.select(F.col("doc_id").alias("path")).distinct(), "path", "left_anti").select("key", "fp")
-    return Run(verdicts, subjects, refused, outputs.join(work.select(F.col("path").alias("src")), "src", "left_semi"), redacted, incomplete, fingerprints.conflicts(placed.select("key", "fp", "path"), prints), updated(known, subjects, done))
+    # A subject with a refused report is not done, whatever else of it gets written.
+    halted = work.join(incomplete.select(F.col("doc_id").alias("path")).distinct(), "path", "left_semi").select("key").distinct()
+    done = kept(work.join(halted, "key", "left_anti").join(outputs.select(F.col("src").alias("path"), "out"), "path").select("key", "fp", "out"))
+    return Run(verdicts, subjects, refused, outputs.join(work.select(F.col("path").alias("src")), "src", "left_semi"), redacted, incomplete, fingerprints.conflicts(placed.select("key", "fp", "path"), prints), updated(known, subjects, done.select("key", "fp")), done)
+
+
+def recorded(known: DataFrame, run: Run, written: DataFrame) -> DataFrame:
+    """The mapping to keep once files were written (out, written, ...): fingerprints and the date are added for subjects all of whose planned files are there."""
+    there = written.where("written").select("out").distinct()
+    missing = run.done.join(there, "out", "left_anti").select("key").distinct()
+    return updated(known, run.subjects, run.done.join(missing, "key", "left_anti").select("key", "fp"))
 
 
 def updated(known: DataFrame, subjects: DataFrame, done: DataFrame) -> DataFrame:
@@ -112,4 +130,4 @@ def scrubbed_images(files: DataFrame, subjects: DataFrame, secret: str, rules: H
     return files.select("path", "content").join(subjects.select("path", "anon_id"), "path").select("path", "content", "anon_id").mapInArrow(run, "path string, content binary, error string")
 
 
-__all__ = ["Run", "run_batch", "scrubbed_images", "updated"]
+__all__ = ["Run", "recorded", "run_batch", "scrubbed_images", "updated"]

@@ -271,15 +271,6 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.targets_a(extract.fields_a(_reports(spark, sf_dir)))
 
 
-@query(r"""SELECT c_custkey AS doc_id, p.n AS page_no, 'Department of Biochemistry' || chr(10) || 'CR No : SUBJ$' || chr(10) || 'Patient Name :' || chr(10) || 'Ward' || CASE WHEN c_custkey % 2 = 0 THEN '/OPD' ELSE '' END || ' :'
- || CASE WHEN p.n = 1 THEN chr(10) || 'Page 2 of 2' ELSE chr(10) || 'Clinician : ' || CASE WHEN c_custkey % 5 = 0 THEN '--' ELSE '' END || chr(10) || 'Investigation' || chr(10) || 'Result 1' || chr(10) || 'Page 1 of 2' END || chr(10) || 'Subject ID: SUBJ$' AS text
-FROM customer, (VALUES (0), (1)) p(n) WHERE c_custkey % 3 = 0 AND c_custkey > 100""")
-def redact_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole reports redacted and stamped. Short keys are part of other figures of a report, so those over 100 are rendered."""
-    pages = _reports(spark, sf_dir).where("doc_id % 3 = 0 AND doc_id > 100")
-    return redact.redacted(pages, _targets(spark, sf_dir), pages.select("doc_id").distinct().withColumn("anon_id", F.lit("SUBJ$")))
-
-
 @query(r"""SELECT c_custkey AS doc_id, p.n AS page_no, 'Department of Biochemistry' || chr(10) || 'CR No : SUBJ$' || chr(10) || 'Patient Name :' || chr(10) || 'Ward' || CASE WHEN c_custkey % 2 = 0 THEN '/OPD' ELSE '' END || ' :'
  || CASE WHEN p.n = 1 THEN chr(10) || 'Page 2 of 2' ELSE CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Room/Bed :' ELSE chr(10) || 'Room/Bed : ' END
  || chr(10) || 'Clinician : ' || CASE WHEN c_custkey % 5 = 0 THEN '--' ELSE '' END || chr(10) || 'Investigation' || chr(10) || 'Result 1' || chr(10) || 'Page 1 of 2' END || chr(10) || 'Subject ID: SUBJ$' AS text

@@ -28,7 +28,7 @@ LABEL_BAND, VALUE_BAND, ROW_TOLERANCE = (0.0, 70.0), (88.0, 291.0), 1.6
 LABELS_B = (("name", "Name"), ("lab_no", "Lab No."), ("ref_by", "Ref By"))
 CODE_ANCHOR, PLACE_ANCHOR, END_ANCHOR = "Authenticity assured", "Processed at", "End of report"
 TOP_BAND, FOOT_BAND = (0.0, 36.0, 595.0, 66.0), (0.0, 799.0, 595.0, 841.0)
-BARCODE_FONTS = ("barcode", "code39", "code128", "c39", "c128")
+BARCODE_FONTS = ("IDAutomation", "Barcode", "3of9")
 
 # Header keywords to clear, patterns of others to clear, and the order a review shows tags in.
 CLEAR_KEYWORDS = (

@@ -23,6 +23,9 @@ KEYWORDS = {
     (0x0010, 0x1040): ("PatientAddress", b"LO"), (0x0010, 0x2160): ("EthnicGroup", b"SH"), (0x0010, 0x21B0): ("AdditionalPatientHistory", b"LT"), (0x0010, 0x4000): ("PatientComments", b"LT"), (0x0018, 0x1000): ("DeviceSerialNumber", b"LO"),
     (0x0018, 0x5010): ("TransducerData", b"LO"), (0x0018, 0x6011): ("SequenceOfUltrasoundRegions", b"SQ"), (0x0018, 0x601A): ("RegionLocationMinY0", b"UL"), (0x0020, 0x000D): ("StudyInstanceUID", b"UI"), (0x0020, 0x000E): ("SeriesInstanceUID", b"UI"),
     (0x0020, 0x0010): ("StudyID", b"SH"), (0x0020, 0x4000): ("ImageComments", b"LT"), (0x0028, 0x0002): ("SamplesPerPixel", b"US"), (0x0028, 0x0008): ("NumberOfFrames", b"IS"), (0x0028, 0x0010): ("Rows", b"US"), (0x0028, 0x0011): ("Columns", b"US"),
+    (0x0008, 0x0092): ("ReferringPhysicianAddress", b"ST"), (0x0008, 0x009C): ("ConsultingPhysicianName", b"PN"), (0x0008, 0x1072): ("OperatorIdentificationSequence", b"SQ"), (0x0010, 0x1001): ("OtherPatientNames", b"PN"), (0x0010, 0x1005): ("PatientBirthName", b"PN"),
+    (0x0010, 0x1060): ("PatientMotherBirthName", b"PN"), (0x0010, 0x2297): ("ResponsiblePerson", b"PN"), (0x0032, 0x1032): ("RequestingPhysician", b"PN"), (0x0040, 0x0006): ("ScheduledPerformingPhysicianName", b"PN"), (0x0040, 0xA075): ("VerifyingObserverName", b"PN"),
+    (0x0040, 0xA123): ("PersonName", b"PN"), (0x0070, 0x0084): ("ContentCreatorName", b"PN"), (0x0040, 0x1010): ("NamesOfIntendedRecipientsOfResults", b"PN"), (0x0040, 0x2008): ("OrderEnteredBy", b"PN"), (0x4008, 0x0114): ("PhysicianApprovingInterpretation", b"PN"),
     (0x0028, 0x0100): ("BitsAllocated", b"US"), (0x0038, 0x0010): ("AdmissionID", b"LO"), (0x7FE0, 0x0010): ("PixelData", b"OW"), (0x0002, 0x0003): ("MediaStorageSOPInstanceUID", b"UI"), (0x0002, 0x0010): ("TransferSyntaxUID", b"UI"),
 }
 
@@ -115,7 +118,7 @@ def build(meta: list[Element], elements: list[Element]) -> bytes:
 
 
 def rewritten(content: bytes, subject: str, cleared: Callable[[str], bool], uid: Callable[[str, str], str]) -> bytes:
-    """The file with subject name and id, cleared and private elements at any depth, new uids, and its banner rows zero in every frame."""
+    """The file with subject name and id, cleared and private elements and other names of persons at any depth, new uids, and its banner rows zero in every frame."""
     meta, elements = parse(content)
     regions = next((e.items for e in elements if e.keyword == "SequenceOfUltrasoundRegions" and e.items), None)
     y0 = next((int(e.text()) for e in (regions or [[]])[0] if e.keyword == "RegionLocationMinY0"), None)
@@ -131,7 +134,7 @@ def rewritten(content: bytes, subject: str, cleared: Callable[[str], bool], uid:
                 e = Element(e.tag, e.vr, items=[] if cleared(e.keyword) else [scrub(x) for x in e.items])
             elif e.keyword in ("PatientName", "PatientID"):
                 e = Element(e.tag, e.vr, subject.encode())
-            elif cleared(e.keyword):
+            elif cleared(e.keyword) or e.vr == b"PN":  # any other person's name, known or not
                 e = Element(e.tag, e.vr)
             elif e.keyword in ("StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "MediaStorageSOPInstanceUID"):
                 kind = "SOPInstanceUID" if e.keyword.startswith("Media") else e.keyword

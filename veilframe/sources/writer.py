@@ -22,6 +22,8 @@ def write_files(rows: DataFrame) -> DataFrame:
                     own = f"{path}.{uuid.uuid4().hex}.part"
                     with fs.open_output_stream(own) as f:
                         f.write(content or b"")
+                    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                        fs.delete_file(path)
                     fs.move(own, path)
                     errors.append(None)
                 except OSError as e:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -33,7 +34,9 @@ def accumulate(stream: DataFrame, key: Callable[[DataFrame], DataFrame], store:
         spark = batch.sparkSession
         try:
             have = spark.read.parquet(store).where(F.col("batch") != number)
-        except Exception:  # noqa: BLE001  the first batch has no store yet
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise  # only a store that isn't there yet, or has no batch, is an empty one
             have = spark.createDataFrame([], "key string, anon_id string, name string, fp string, batch long")
         files = key(batch)
         known = have.select(F.col("key").alias("original_key"), "anon_id", "name", F.xxhash64("key").alias("ordinal")).distinct()
