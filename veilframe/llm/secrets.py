@@ -125,8 +125,12 @@ def features(tokens: list[str], i: int, whole: list[str]) -> list[str]:
     return out + whole
 
 
+_PAIR, _CODE = re.compile(r"\w\s?=\s?\S"), re.compile(r"[{};]")
+
+
 def whole_features(text: str) -> list[str]:
-    return ["text:hint"] if _LIKELY.search(text) else ["text:none"]
+    """What the whole text has: words of secrets, settings, marks of code, mail signs."""
+    return ["text:hint" if _LIKELY.search(text) else "text:none", *(name for name, yes in (("text:pairs", _PAIR.search(text)), ("text:code", _CODE.search(text)), ("text:mail", "@" in text)) if yes)]
 
 
 def _made(rng: random.Random) -> list[tuple[list[str], list[int]]]:
@@ -155,6 +159,7 @@ def _made(rng: random.Random) -> list[tuple[list[str], list[int]]]:
             lambda: f"{rng.randint(200, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: pick(digit, rng.randint(8, 16)), lambda: f"{word()}-{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
             lambda: f"{word()}/{word()}/{word()}{rng.randint(1, 99)}.{rng.choice(['html', 'txt', 'py', 'png'])}", lambda: f"{word()}_{word()}_{rng.randint(1, 9999)}", lambda: f"{word()}{rng.randint(1, 9999)}{word()}", lambda: word().capitalize() + str(rng.randint(10, 9999)) + ".",
             lambda: f"https//{word()}.{word()}{rng.randint(0, 9)}.com/{word()}/{rng.randint(1, 99999)}", lambda: f"mail{rng.randint(1, 9)}.{word()}.com", lambda: f"{rng.randint(10, 23)}.{rng.randint(10, 59)}.{rng.randint(10, 59)}", lambda: word().upper() + "-" + pick(digit, rng.randint(4, 8)),
+            lambda: "-".join(pick(digit + "abcdef", n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(pick(digit + "abcdef", n) for n in (8, 4, 4, 4, 12)).upper(), lambda: pick(upper + digit, rng.randint(8, 12)), lambda: pick(digit + "abcdef", rng.randint(8, 12)),
             lambda: f"{word()}{rng.randint(1,9)}{word()}.{word()}", lambda: f"+{rng.randint(10, 99)}-{pick(digit, 9)}", lambda: f"{rng.randint(1, 99)}.{pick(digit, 6)}",
         ])()
     out = []
@@ -162,7 +167,7 @@ def _made(rng: random.Random) -> list[tuple[list[str], list[int]]]:
         before = [word() for _ in range(rng.randint(3, 6))]
         after = [word() for _ in range(rng.randint(3, 6))]
         yes = rng.random() < 0.4
-        lead = rng.choice([[], [rng.choice(sorted(_HINTS)), rng.choice("=:")], [rng.choice(sorted(_HINTS)), "=", '"'], ["bearer"], ['"'], ["key", "is"], [rng.choice(sorted(_HINTS))]] if yes else [[], [], ["@"], ["version"], ["("], [word(), ":"], [word(), "="], ["token"], ['"'], ["$"], ["http", ":"]])
+        lead = rng.choice([[], [rng.choice(sorted(_HINTS)), rng.choice("=:")], [rng.choice(sorted(_HINTS)), "=", '"'], ["bearer"], ['"'], ["key", "is"], [rng.choice(sorted(_HINTS))]] if yes else [[], [], ["@"], ["version"], ["order"], ["commit"], ["id", ":"], ["("], [word(), ":"], [word(), "="], ["token"], ['"'], ["$"], ["http", ":"]])
         token = secret() if yes else other()
         kind = rng.random()
         if yes and kind < 0.4:
@@ -218,7 +223,7 @@ class Field:
 def trained(seed: int = 10, rounds: int = 100) -> Field:
     """Maximum likelihood with a squared penalty, by gradient steps over all lines at once."""
     lines = _made(random.Random(seed))
-    rows = [[features(t, i, ["text:hint" if set(map(str.lower, t)) & {"token", "secret", "password", "apikey", "api_key"} else "text:none"]) for i in range(len(t))] for t, _ in lines]
+    rows = [[features(t, i, whole) for i in range(len(t))] for t, _ in lines for whole in [whole_features(" ".join(t))]]
     names = sorted({n for r in rows for f in r for n in f})
     at = {n: i for i, n in enumerate(names)}
     size, longest = len(names), max(map(len, rows))
@@ -347,7 +352,11 @@ def mask(text: str | None, field: Field, by: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame, field: Field | None = None, by: str = "[SECRET]") -> DataFrame:
-    """docs with secrets in `text` replaced and n_chars, if it is there, counted anew; all columns and rows stay."""
+    """docs with secrets in `text` replaced and n_chars, if it is there, counted anew; all columns and rows stay.
+
+    Null and empty texts stay as they are, repeated rows are masked each for itself, and an empty table
+    gives an empty one.
+    """
     field = field or trained()
     at = docs.columns.index("text")
 
