@@ -20,12 +20,14 @@ _CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one under /tmp only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; one under /tmp only where that is unset and the session is local (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         there = found.get() if found.isDefined() else None
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         there = f"file:///tmp/veilframe-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(there)
     return there
