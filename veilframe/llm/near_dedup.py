@@ -19,8 +19,9 @@ at the threshold always share one of those (prefix filter), and only documents t
 blocks again. That is exact; it costs rows by block where thousands of unlinked documents have a rare
 shingle in common.
 
-Confirmation goes in rounds, the best candidate of each document first, and only pairs that can still
-join two components are confirmed. A set travels once for each of its document's pairs, to the other one.
+Confirmation goes in three rounds: the best candidate of each document, the best one of any two
+components that the links so far leave, and then all candidates that can still join two. A set travels
+once for each of its document's pairs, to the other one.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """The parity sketch of a set: a power of two of bits, four for each shingle or more and 64 at least."""
-    m = max(64, 1 << (4 * len(s) - 1).bit_length())
+    """The parity sketch of a set: a power of two of bits, four for each shingle or more and 512 at least."""
+    m = max(512, 1 << (4 * len(s) - 1).bit_length())
     bits = np.bincount((mix(s + np.uint64(78)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -189,20 +190,22 @@ def _documents(lists: pa.Array):
     return reps, n, comp, Sketches(flat.field(3)), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
 
 
-def _best(u: np.ndarray, v: np.ndarray, rank: np.ndarray):
-    """One pair for each u: of the least rank, then of the least v."""
-    order = np.lexsort((v, rank, u))
-    u, v, rank = u[order], v[order], rank[order]
-    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.arange(0)
-    return u[first], v[first], rank[first]
+def _best(rank: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """The place of one pair for each value of the keys: of the least rank, then the first."""
+    order = np.lexsort((rank, *keys))
+    new = np.concatenate([[True], np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])]) if len(order) else np.zeros(0, bool)
+    return order[new]
 
 
 def _pairs(u, v, rank):
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(rank, pa.int64())], names=["u", "v", "rank"])
 
 
-def _compare(percent: int, first: bool):
-    """Nodes (array of rep, n, comp, sketch) to candidate pairs. first: each document and one before it; else all alike pairs of two components."""
+FIRST, ONE, ALL = range(3)  # of each document its best pair; of two components their best pair in a place; all pairs of two components
+
+
+def _compare(percent: int, mode: int):
+    """Nodes (array of rep, n, comp, sketch) to candidate pairs, as the mode says."""
 
     def run(batches):
         for b in batches:
@@ -216,16 +219,25 @@ def _compare(percent: int, first: bool):
                     i.append((there[:, None] + x).ravel()), j.append((there[:, None] + y).ravel())
                 i, j = np.concatenate(i), np.concatenate(j)
                 i, j = np.where(reps[i] > reps[j], i, j), np.where(reps[i] > reps[j], j, i)
-                some = np.flatnonzero((reps[i] != reps[j]) & (first | (comp[i] != comp[j])))
+                some = np.flatnonzero((reps[i] != reps[j]) & ((mode == FIRST) | (comp[i] != comp[j])))
                 i, j = i[some], j[some]
                 ok, rank = alike(sketches, n, i, sketches, n, j, percent)
-                yield _pairs(*(_best if first else lambda *x: x)(reps[i[ok]], reps[j[ok]], rank))
+                yield _chosen(mode, reps[i[ok]], reps[j[ok]], comp[i[ok]], comp[j[ok]], rank)
 
     return run
 
 
-def _meet(percent: int, first: bool):
-    """Two arrays of rep, n, comp, sketch to candidate pairs: for each document of the one its best of the other, or all alike ones of another component."""
+def _chosen(mode: int, u, v, cu, cv, rank) -> pa.RecordBatch:
+    if mode != ALL:
+        order = np.lexsort((v, u))
+        u, v, cu, cv, rank = (x[order] for x in (u, v, cu, cv, rank))
+        there = _best(rank, u) if mode == FIRST else _best(rank, np.maximum(cu, cv), np.minimum(cu, cv))
+        u, v, rank = u[there], v[there], rank[there]
+    return _pairs(u, v, rank)
+
+
+def _meet(percent: int, mode: int):
+    """Two arrays of rep, n, comp, sketch to candidate pairs of one of each, as the mode says."""
 
     def run(batches):
         for b in batches:
@@ -233,11 +245,13 @@ def _meet(percent: int, first: bool):
                 reps, n, comp, sketches, _ = _documents(b.column(0).slice(at, 1))
                 others, size, theirs, more, _ = _documents(b.column(1).slice(at, 1))
                 i, j = np.repeat(np.arange(len(reps)), len(others)), np.tile(np.arange(len(others)), len(reps))
-                some = np.flatnonzero((reps[i] != others[j]) & (first | (comp[i] != theirs[j])))
+                some = np.flatnonzero((reps[i] != others[j]) & ((mode == FIRST) | (comp[i] != theirs[j])))
                 i, j = i[some], j[some]
                 ok, rank = alike(sketches, n, i, more, size, j, percent)
-                u, v = reps[i[ok]], others[j[ok]]
-                yield _pairs(*_best(u, v, rank)) if first else _pairs(np.maximum(u, v), np.minimum(u, v), rank)
+                u, v, cu, cv = reps[i[ok]], others[j[ok]], comp[i[ok]], theirs[j[ok]]
+                if mode != FIRST:
+                    u, v = np.maximum(u, v), np.minimum(u, v)
+                yield _chosen(mode, u, v, cu, cv, rank)
 
     return run
 
@@ -341,7 +355,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
             rows = rows.join(rows.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("node"), "node")
         return rows.join(sketches, "rep").groupBy("node").agg(F.collect_list(entry).alias("docs")).select("docs")
 
-    def met(rows: DataFrame, first: bool) -> DataFrame:
+    def met(rows: DataFrame, mode: int) -> DataFrame:
         """Rows of nodes (node, rep, comp, c, n_some, meets, some) that meet others against the `some` rows of the same node, in each of its blocks, which hold about BLOCK of these n_some.
 
         The c rows of a node are dealt to chunks of about CHUNK; each of its blocks goes to each chunk, so no key holds a whole node.
@@ -350,7 +364,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         docs_of = rows.where("meets").select("node", "rep", "comp", F.pmod(F.xxhash64("rep", F.lit(3)), chunks).cast("int").alias("chunk")).join(sketches, "rep").groupBy("node", "chunk").agg(F.collect_list(entry).alias("docs"))
         lists = rows.where("some").select("node", "rep", "comp", chunks.alias("chunks"), F.pmod(F.xxhash64("rep", F.lit(2)), F.greatest(F.ceil(F.col("n_some") / BLOCK), F.lit(1))).alias("block")).join(sketches, "rep").groupBy("node", "block").agg(F.first("chunks").alias("chunks"), F.collect_list(entry).alias("others"))
         lists = lists.select("node", "others", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        return docs_of.join(lists, ["node", "chunk"]).select("docs", "others").mapInArrow(_meet(percent, first), pairs)
+        return docs_of.join(lists, ["node", "chunk"]).select("docs", "others").mapInArrow(_meet(percent, mode), pairs)
 
     def confirmed(found: DataFrame, name: str) -> DataFrame:
         """Pairs (u, v) that are links on the full sets. Each set of a u goes to its v, whose own set goes there once for STAR others."""
@@ -398,6 +412,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         outside = rows.select(F.xxhash64("node", F.lit(1)).alias("node"), *of, F.col("outside").alias("n_some"), (~no).alias("meets"), F.expr("held AND comp <> most").alias("some"))
         return outside.unionByName(rows.select(F.xxhash64("node", F.lit(2)).alias("node"), *of, F.col("inside").alias("n_some"), F.expr("comp <> most").alias("meets"), F.expr("held AND comp = most").alias("some")))
 
+    def alike_pairs(comp: DataFrame, mode: int) -> DataFrame:
+        """Candidates of two components in all nodes, by the components so far."""
+        rows = written(with_comp(large, comp), "large")
+        kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("strays")).where("strays > 0")
+        rows = written(rows.join(kinds, "node"), "open")
+        rest = rows.where(F.col("strays") > STRAYS)
+        rows = rows.where(F.col("strays") <= STRAYS).select("node", "rep", "comp", "c", F.col("strays").alias("n_some"), F.lit(True).alias("meets"), F.expr("comp <> most").alias("some"))
+        if not rest.isEmpty():
+            rows = rows.unionByName(rare(rest, comp))
+        return grouped(small, comp).mapInArrow(_compare(percent, mode), pairs).unionByName(met(rows, mode))
+
     level, small = _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long")), []
     for _ in range(LEVELS - 1):
         small.append(level.where(F.col("c") <= LEAF))
@@ -406,24 +431,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     large = level.where(F.col("c") > LEAF)
 
     sampled = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / BLOCK)) == 0
-    tried = met(with_comp(large, None).select("*", F.lit(0).alias("n_some"), F.lit(True).alias("meets"), sampled.alias("some")), True)
-    found = grouped(small, None).mapInArrow(_compare(percent, True), pairs).unionByName(tried)
+    tried = met(with_comp(large, None).select("*", F.lit(0).alias("n_some"), F.lit(True).alias("meets"), sampled.alias("some")), FIRST)
+    found = grouped(small, None).mapInArrow(_compare(percent, FIRST), pairs).unionByName(tried)
     links = confirmed(written(found, "first", records=64).groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v")), "first")
     comp = written(components(links, "stars").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comp")
-    more = grouped(small, comp).mapInArrow(_compare(percent, False), pairs)
-    rows = written(with_comp(large, comp), "large")
-    kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("strays")).where("strays > 0")
-    rows = written(rows.join(kinds, "node"), "open")
-    rest = rows.where(F.col("strays") > STRAYS)
-    rows = rows.where(F.col("strays") <= STRAYS).select("node", "rep", "comp", "c", F.col("strays").alias("n_some"), F.lit(True).alias("meets"), F.expr("comp <> most").alias("some"))
-    if not rest.isEmpty():
-        rows = rows.unionByName(rare(rest, comp))
-    more = more.unionByName(met(rows, False))
-    more = written(written(more, "more", records=64).distinct(), "second")
-    if not more.isEmpty():
-        best = more.groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v"))
-        comp = joined(confirmed(best, "second"), comp, "second")
-        last = written(apart(more, comp).select("u", "v").join(best, ["u", "v"], "left_anti"), "last")
+    some = apart(written(alike_pairs(comp, ONE), "some", records=64).distinct(), comp)
+    some = written(some.groupBy("cu", "cv").agg(F.min_by(F.struct("u", "v"), F.struct("rank", "u", "v")).alias("p")).select("p.u", "p.v"), "second")
+    if not some.isEmpty():
+        comp = joined(confirmed(some, "second"), comp, "second")
+        last = written(written(alike_pairs(comp, ALL), "rest", records=64).select("u", "v").distinct().join(some, ["u", "v"], "left_anti"), "last")
         if not last.isEmpty():
             comp = joined(confirmed(last, "last"), comp, "last")
     # A document with several rows of different text belongs to several classes: its rows join them.
