@@ -20,7 +20,6 @@ import hashlib
 import itertools
 import json
 import os
-import re
 import struct
 import sys
 import uuid
@@ -169,8 +168,7 @@ class Encoder:
 
         known = json.loads(model)
         self.tokenizer = Tokenizer.from_str(model)
-        added = [re.escape(x["content"]) for x in known.get("added_tokens") or [] if x["content"]]
-        self.added = re.compile("|".join(added)).search if added else lambda text: None
+        self.added = [x["content"] for x in known.get("added_tokens") or [] if x["content"]]
         self.split, self.kind, self.alone = splitter(), {2: "H", 4: "I"}[width], pieces_alone(known)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets, where there is such a call
         self.cache = PieceCache(self.pieces)
@@ -186,7 +184,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if t and (not self.alone or self.added(t))]
+        whole = [i for i, t in enumerate(texts) if t and (not self.alone or any(x in t for x in self.added))]
         given = set(whole)
         out = self.cache.join([self.split(t) if t and i not in given else [] for i, t in enumerate(texts)])
         for i in whole:
@@ -212,7 +210,7 @@ def _writer(folder: str, model: str, end_id: int, width: int):
         at, last, copy = 0, object(), 0
         with _file(folder, f"shard-{shard:05d}.ids") as f:
             for b in itertools.chain([first], batches):
-                for part in _slices(b):
+                for part in _slices(b, 2_000_000):
                     ns, copies, offsets = [], [], []
                     for doc_id, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                         copy = copy + 1 if doc_id == last else 0
