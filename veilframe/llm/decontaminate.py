@@ -32,7 +32,7 @@ HITS = 1_000_000  # of a document, counted at once
 BLOCK_CHARS = 2_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 22
+_BITS = 16
 
 
 def normal(text: str | None) -> str:
@@ -100,13 +100,14 @@ class _Grams:
         self.item = np.repeat(np.array(items, np.int64), [len(x) for x in g])[order]
         self.offset = np.concatenate([*(np.arange(len(x)) for x in g), np.empty(0, np.int64)])[order].astype(np.int64)
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[self.keys >> np.uint64(64 - _BITS)] = True
+        self.shift = np.uint64(64 - max(_BITS, len(self.keys).bit_length() + 4))  # a small table stays in the processor's cache
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[self.keys >> self.shift] = True
 
     def bands(self, c: np.ndarray, edits: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
         """(item, band) pairs of a document that meet the lemma's bound."""
         h = grams(c, self.q)
-        pos = np.flatnonzero(self.maybe[h >> np.uint64(64 - _BITS)])
+        pos = np.flatnonzero(self.maybe[h >> self.shift])
         if not len(pos):
             return []
         k = np.searchsorted(self.keys, h[pos])
@@ -125,6 +126,11 @@ class _Grams:
                 continue
             at = np.arange(len(row)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + self.first[k][row]
             item = self.item[at]
+            if len(steps) == 1:  # all hits are here: items with fewer than they need have no band
+                some = np.flatnonzero((np.bincount(item, minlength=len(least)) >= least)[item])
+                if not len(some):
+                    return []
+                row, at, item = row[some], at[some], item[some]
             band = (pos[row] - self.offset[at]) // (edits[item] + 1)
             key, many = np.unique((item << 40) + (band + (1 << 38)), return_counts=True)
             keys, times = np.concatenate([keys, key]), np.concatenate([times, many])
@@ -172,9 +178,14 @@ class Index:
     def matches(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item number, start, end, edits) in normalised offsets, without overlaps for one item."""
         out: dict[int, list[tuple[int, int, int, int]]] = {}
-        for item, band in self.bands(c):
+        bands, at = sorted(self.bands(c)), 0
+        while at < len(bands):
+            item, band = bands[at]
+            # Two bands that overlap are aligned at once; copies of one item in them would overlap as well.
+            wide = bands[at + 1 : at + 2] == [(item, band + 1)]
+            at += 1 + wide
             p, e = self.codes[item], int(self.edits[item])
-            lo, width = band * (e + 1) - e, 2 * (e + 1) + 2 * e
+            lo, width = band * (e + 1) - e, (2 + wide) * (e + 1) + 2 * e
             edits, end = _edits(p, c, lo, width, e)
             if edits <= e:
                 back, stop = _edits(p[::-1], c[:end][::-1], -e, 2 * e + 1, e)
