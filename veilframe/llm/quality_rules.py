@@ -202,5 +202,7 @@ def judge(docs: DataFrame, lexicon: list[str], rules: list[Rule]) -> DataFrame:
     gives an empty result.
     """
     d = base(docs)
-    d = d.select("*", *(c.alias(n) for n, c in statistics(lexicon).items() if n != "n_words"))
+    d = d.select("doc_id", F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(c.alias(n) for n, c in statistics(lexicon).items() if n != "n_words")).alias("s"))
+    # Through this a filter on the result isn't pushed down, where it would work the statistics out many times over.
+    d = d.select("doc_id", F.explode(F.array("s")).alias("s")).select("doc_id", "s.*")
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
