@@ -6,15 +6,17 @@ other and blocks near in the element tree are joined by smoothness edges. The mi
 augmenting shortest paths, parts content from boilerplate at the least total cost.
 
 Blocks below elements that hold no reading text (scripts, styles, forms, templates, head) are never
-made. Terms of an element's class, id and role tell menus, adverts, notices and comments.
+made. Terms of an element's class, id and role tell menus, adverts, notices and comments; on layout
+wrappers, which hold the article as well, they count for nothing. Time is linear in the page's length
+and depth up to the cut.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
-from dataclasses import dataclass, field
+from collections import Counter, deque
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ _BLANK = re.compile(r"\s+")
 #: Fixed values of the HTML language: elements without content, of raw content, of no reading text, and of blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes noembed iframe".split())
-UNREAD = frozenset("script style head noscript template svg canvas object iframe form button select textarea input option datalist dialog map audio video math title xmp noframes noembed".split())
+UNREAD = frozenset("script style head noscript template svg canvas object iframe form button select textarea input option datalist dialog map audio video title xmp noframes noembed".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element that a start tag of these ends.
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"])}
@@ -39,6 +41,8 @@ TERM_COST = {
     -4.0: "article content post entry story main body text maincontent".split(),
 }
 _TERMS = {t: cost for cost, terms in TERM_COST.items() for t in terms}
+#: Words that make a class name tell a state of the page (`has-sidebar`, `comments-open`) instead of a part's purpose.
+STATES = frozenset("has no with without open closed enabled disabled layout".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -49,53 +53,82 @@ NEXT, TREE = 1.0, 1.5  # smoothness between neighbours, and more by how much of
 class Node:
     tag: str
     number: int
-    cost: float
+    parent: Node | None
+    cost: float  # of the element
+    terms: float  # of its class, id and role
     unread: bool
+    block: str  # the nearest block element's tag
+    article: bool  # in an article or main element
+    chars: int = 0  # characters outside links
+    holds: bool = False  # a title, main part or article without terms of boilerplate
+    bad: float = 0.0  # sums down the path
+    good: float = 0.0
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[Node, ...]
+    node: Node
     links: int  # characters inside links
-    tag: str = field(default="")
+    depth: int
+    shared: int  # elements of the path that the block before has too
 
 
-def _node_cost(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
-    """Cost of content below the element, and whether it is hidden."""
+def _node_cost(tag: str, attributes: str, inside: bool) -> tuple[float, float, bool]:
+    """Cost of content below the element, by its tag and by its terms, and whether it is hidden."""
     cost = ELEMENT_COST.get(tag, 0.0)
     if inside and tag == "header":
         cost = 0.0  # an article's own header holds its title
-    hidden = False
+    hidden, own = False, 0.0
     if attributes:
-        terms: set[str] = set()
+        found: set[str] = set()
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
             if name in ("class", "id", "role"):
-                terms.update(_SPLIT.split(_CAMEL.sub(" ", value).lower()))
+                for token in value.split():
+                    terms = set(_SPLIT.split(_CAMEL.sub(" ", token).lower()))
+                    if terms.isdisjoint(STATES):
+                        found |= terms & _TERMS.keys()
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
-        found = [_TERMS[t] for t in terms if t in _TERMS]
         if found and tag not in ("html", "body"):
-            bad, good = max([0.0, *(c for c in found if c > 0)]), min([0.0, *(c for c in found if c < 0)])
-            cost += bad + (good if not bad else 0.0)
-    return cost, hidden
+            all_ = [_TERMS[t] for t in found]
+            own = max(all_) if max(all_) > 0 else min(all_)
+    return cost, own, hidden
+
+
+def _weigh(nodes: list[Node], found: list[Block]) -> None:
+    """Sums of costs down each path. Terms of boilerplate don't count on an element that holds the article:
+    over half of the page's characters outside links, and a title, main part or plain article below it."""
+    for b in found:
+        b.node.chars += len(b.text) - b.links
+    for x in reversed(nodes[1:]):
+        x.parent.chars += x.chars
+        x.parent.holds |= x.holds or x.tag in ("h1", "main") or x.tag == "article" and x.terms <= 0
+    for x in nodes:
+        if x.terms > 0 and x.cost <= 0 and x.holds and 2 * x.chars > nodes[0].chars:
+            x.terms = 0.0
+        cost, up = x.cost + x.terms, x.parent
+        x.bad = (up.bad if up else 0.0) + max(0.0, cost)
+        x.good = (up.good if up else 0.0) - min(0.0, cost)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, with white space inside as one space; unread parts left out."""
     out: list[Block] = []
-    root = Node("html", 0, 0.0, False)
-    stack, count = [root], 1
+    root = Node("html", 0, None, 0.0, 0.0, False, "html", False)
+    nodes, stack = [root], [root]
+    held: list[int] = []  # where the open block elements stand in the stack
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    state = {"links": 0, "depth": 0}
+    state = {"links": 0, "depth": 0, "low": 0}  # low: the least height of the stack since the last block
 
     def flush() -> None:
         if text:
             clean = _BLANK.sub(" ", html.unescape("".join(text))).strip()
             if clean:
-                tag = next((n.tag for n in reversed(stack) if n.tag in BLOCK), "html")
-                out.append(Block(clean, tuple(stack), state["links"], tag))
+                out.append(Block(clean, stack[-1], min(state["links"], len(clean)), len(stack), state["low"]))
+                state["low"] = len(stack)
         text.clear()
         state["links"] = 0
 
@@ -109,9 +142,11 @@ def blocks(page: str) -> list[Block]:
         while len(stack) > to:
             if stack[-1].tag in BLOCK:
                 flush()
+                held.pop()
             elif stack[-1].tag == "a":
                 state["depth"] -= 1
-            stack.pop()
+            opened[stack.pop().tag] -= 1
+            state["low"] = min(state["low"], len(stack))
 
     at, n = 0, len(page)
     while at < n:
@@ -132,59 +167,54 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "br":
                 add(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag in BLOCK:
-                        flush()
-                    close(i)
-                    break
-            else:
-                if tag == "p":
+            if opened[tag]:
+                if tag in BLOCK:
                     flush()
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+            elif tag == "p":
+                flush()
             continue
         if tag in BLOCK:
             flush()
         # An open paragraph, item or cell ends where a tag starts that it cannot hold; unclosed inline elements end with it.
-        for i in range(len(stack) - 1, 0, -1):
-            t = stack[i].tag
-            if t in CLOSES and tag in CLOSES[t]:
-                close(i)
-                break
-            if t in BLOCK and t not in ("p",) or t == "a" and tag == "a":
-                break
+        if held and tag in CLOSES.get(stack[held[-1]].tag, ()):
+            close(held[-1])
         if tag == "br":
             add(" ")
             continue
         if tag in VOID:
             continue
-        inside = any(x.tag in ("article", "main") for x in stack)
-        cost, hidden = _node_cost(tag, m[3], inside)
-        node = Node(tag, count, cost, stack[-1].unread or hidden or tag in UNREAD)
-        count += 1
+        up = stack[-1]
+        cost, own, hidden = _node_cost(tag, m[3], up.article)
+        node = Node(tag, len(nodes), up, cost, own, up.unread or hidden or tag in UNREAD, tag if tag in BLOCK else up.block, up.article or tag in ("article", "main"))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
             continue
         if m[3].endswith("/") and tag in ("svg", "path"):
             continue
+        if tag in BLOCK:
+            held.append(len(stack))
+        nodes.append(node)
         stack.append(node)
+        opened[tag] += 1
         if tag == "a":
             state["depth"] += 1
     flush()
+    _weigh(nodes, out)
     return out
 
 
 def costs(b: Block) -> tuple[float, float]:
     """(cost of calling the block content, cost of calling it boilerplate)."""
-    bad = sum(x.cost for x in b.path if x.cost > 0)
-    good = -sum(x.cost for x in b.path if x.cost < 0)
+    bad, good, tag = b.node.bad, b.node.good, b.node.block
     if bad >= 6:
         good = 0.0  # a menu inside the article is a menu
     density = min(1.0, b.links / len(b.text))
-    bad += 3.0 * density * (b.tag in ("li", "td", "div", "p", "html", "body"))
+    bad += 3.0 * density * (tag in ("li", "td", "div", "p", "html", "body"))
     words = b.text.count(" ") + 1
     good += min(4.0, words / 8) * (1 - density)
-    if b.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "dd", "dt"):
+    if tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "dd", "dt"):
         good += 2.0 * (1 - density)
     if re.match(r"(?:©|\(c\) |copyright\b|all rights reserved)", b.text, re.I):
         bad += 2.0
@@ -193,12 +223,7 @@ def costs(b: Block) -> tuple[float, float]:
 
 def near(a: Block, b: Block) -> float:
     """Smoothness between neighbouring blocks: their share of common elements."""
-    same = 0
-    for x, y in zip(a.path, b.path):
-        if x is not y:
-            break
-        same += 1
-    return NEXT * same / max(len(a.path), len(b.path))
+    return NEXT * b.shared / max(a.depth, b.depth)
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -277,7 +302,7 @@ def label(found: list[Block]) -> list[bool]:
     edges = [(i, i + 1, near(found[i], found[i + 1])) for i in range(len(found) - 1)]
     last: dict[int, int] = {}  # the last block below each block element's parent: proximity in the tree
     for i, b in enumerate(found):
-        parent = b.path[-2].number if len(b.path) > 1 else 0
+        parent = b.node.parent.number if b.node.parent else 0
         j = last.get(parent)
         if j is not None:
             edges.append((j, i, TREE))
