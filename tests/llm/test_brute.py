@@ -58,9 +58,13 @@ def test_near_dedup_with_a_large_group(spark, monkeypatch):
     assert got == components({i: shingles(t, 4) for i, t in rows[:150]}, 80)
 
 
-@pytest.mark.parametrize("kinds", [512, 1])
-def test_substring(spark, monkeypatch, kinds):
+@pytest.mark.parametrize(("kinds", "size", "rows"), [(512, 4_000_000, 4096), (1, 4_000_000, 1), (512, 40, 4096)])
+def test_substring(spark, monkeypatch, kinds, size, rows):
     monkeypatch.setattr(substring_dedup, "KINDS", kinds)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", size)
+    monkeypatch.setattr(substring_dedup, "HEAVY", 1_000_000)
+    monkeypatch.setattr(substring_dedup, "HEAVY_ROWS", rows)  # with 1 all keys are dealt
+    monkeypatch.setattr(substring_dedup, "SALTS", 3)
     rng = random.Random(9)
     passage = [f"p{i}" for i in range(30)]
     rows = []

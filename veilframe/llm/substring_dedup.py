@@ -9,9 +9,12 @@ one packed string, their words joined by a space. Two windows of one packed stri
 Minimisers that occur once in the corpus are let go on hashes alone before any string is packed.
 Equal packed strings are summed before they are dealt out; in a bucket with one string that occurs
 twice or more every window repeats, and only buckets with several strings are taken apart into
-windows: sorted within their task where they hold at most KINDS different strings, else dealt out as
-rows and counted by a sorted aggregate. Both compare whole strings, and no bucket of unbounded size
-is gathered in one task.
+windows: sorted within their task where they hold at most KINDS different strings of at most
+BUCKET_BYTES in all, else dealt out as rows and counted by a sorted aggregate. Both compare whole
+strings, and no bucket of unbounded size is gathered in one task.
+
+Joins deal the rows of a heavy key (a minimiser, string or window with over 1/HEAVY of a table's
+rows, so there are fewer than HEAVY) over SALTS parts; all rows of other keys meet as usual.
 """
 
 from __future__ import annotations
@@ -26,7 +29,11 @@ from pyspark.sql import functions as F
 from .common import WordHash, kept, rolling, words, written
 
 MINIMISER = 12
-KINDS = 4096  # different packed strings of a bucket that one task takes apart; with 24 windows each under 50 MB
+KINDS = 4096  # different packed strings of a bucket that one task takes apart
+BUCKET_BYTES = 4_000_000  # and their bytes; with 24 windows each under 60 MB
+HEAVY = 1024
+HEAVY_ROWS = 4096  # a key with fewer rows is no burden to a task
+SALTS = 512
 _HASH = WordHash()
 kept(_HASH)
 
@@ -153,6 +160,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("row_key"), "text")
 
 
+def _heavy(n: str, rows: int) -> str:
+    return f"{n} > {max(rows // HEAVY, HEAVY_ROWS)}"
+
+
+def _dealt(big: DataFrame, small: DataFrame, on: list[str], heavy: DataFrame, by: list[str]) -> DataFrame:
+    """big and small joined on their columns `on`, small with one row for each key. Rows of big with a key of heavy, fewer than HEAVY keys by _heavy(), go by a hash of `by` to SALTS parts, each with small's row."""
+    keys = F.broadcast(heavy.select(*on, F.lit(True).alias("heavy")))
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    big = big.join(keys, on, "left").withColumn("salt", salt).drop("heavy")
+    small = small.join(keys, on, "left").withColumn("salt", F.explode(salts)).drop("heavy")
+    return big.join(small, [*on, "salt"]).drop("salt")
+
+
 def repeated_windows(docs: DataFrame, width: int = 50, m: int = MINIMISER) -> tuple[DataFrame, DataFrame]:
     """(starts, texts): for each row key that has any, the starts of its repeated windows; and those rows.
 
@@ -163,24 +184,31 @@ def repeated_windows(docs: DataFrame, width: int = 50, m: int = MINIMISER) -> tu
         m = width
     rows = _keyed(docs)
     scan = written(rows.mapInArrow(_scan(width, m), "h long, doc_id long, row_key long, at int, c int"), "minimisers")
-    twice = scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = scan.join(twice, "h").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "c", "h")).alias("found"))
+    twice = written(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    pairs = _dealt(scan, twice.select("h"), ["h"], twice.where(_heavy("n", scan.count())), ["doc_id", "row_key", "at"])
+    found = pairs.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "c", "h")).alias("found"))
     here = found.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "found")
     texts = written(rows.join(here, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key"))).select("doc_id", "row_key", "text", "found"), "candidates")
     packs = texts.mapInArrow(_pack(width), "h long, packed binary, doc_id long, row_key long, at int, c int")
     digest = F.unhex(F.sha2("packed", 256)).alias("key")
-    kinds = written(packs.groupBy("h", "packed").agg(F.count("*").alias("n"), F.min("c").alias("c")).select("h", "packed", "n", "c", digest), "packed")
-    of = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    whole = kinds.where("n > 1").select("h", "key", "c").join(of.where("kinds = 1"), "h").select("h", "key", F.expr("sequence(0, c - 1)").alias("offs"))
-    w = F.split(F.col("packed").cast("string"), " ", -1)
-    kinds = written(kinds.join(of.where("kinds > 1"), "h"), "several")
-    few = kinds.where(f"kinds BETWEEN 2 AND {KINDS}").select("h", "packed", "n", "key").repartition("h").sortWithinPartitions("h")
+    strings = written(packs.groupBy("h", "packed").agg(F.count("*").alias("n"), F.min("c").alias("c")).select("h", "packed", "n", "c", digest, F.length("packed").alias("size")), "packed")
+    of = strings.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes"))
+    count, all_places = strings.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    kinds = _dealt(strings, of, ["h"], of.where(_heavy("kinds", count)), ["key"]).where("kinds > 1 OR n > 1")
+    kinds = written(kinds.withColumn("packed", F.expr("IF(kinds > 1, packed, NULL)")), "several")
+    whole = kinds.where("kinds = 1").select("h", "key", F.expr("sequence(0, c - 1)").alias("offs"))
+    small = F.expr(f"kinds <= {KINDS} AND bytes <= {BUCKET_BYTES}")
+    few = kinds.where("kinds > 1").where(small).select("h", "packed", "n", "key").repartition("h").sortWithinPartitions("h")
     few = few.mapInArrow(_sorted_counts(width), "h long, key binary, offs array<int>")
-    windows = kinds.where(f"kinds > {KINDS}").select("h", "key", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.array_join(F.slice(w, i, width), " "))).alias("off", "window"))
-    sums = windows.groupBy("h", "window").agg(F.sum("n").alias("times")).where("times > 1").select("h", "window")
-    parts = windows.join(sums, ["h", "window"]).groupBy("h", "key").agg(F.collect_set("off").alias("offs"))
+    large = kinds.where("kinds > 1").where(~small)
+    w = F.split(F.col("packed").cast("string"), " ", -1)
+    windows = large.select("h", "key", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.array_join(F.slice(w, i, width), " "))).alias("off", "window"))
+    sums = windows.groupBy("h", "window").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).where("times > 1")
+    sums = written(sums.select("h", "window", "rows"), "sums")
+    total = large.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    parts = _dealt(windows, sums.drop("rows"), ["h", "window"], sums.where(_heavy("rows", total)), ["key", "off"]).groupBy("h", "key").agg(F.collect_set("off").alias("offs"))
     verdict = whole.unionByName(few).unionByName(parts)
-    places = packs.select("h", digest, "doc_id", "row_key", "at").join(verdict, ["h", "key"])
+    places = _dealt(packs.select("h", digest, "doc_id", "row_key", "at"), verdict, ["h", "key"], strings.where(_heavy("n", all_places)), ["doc_id", "row_key", "at"])
     starts = places.select("doc_id", "row_key", F.explode(F.transform("offs", lambda x: x + F.col("at"))).alias("start"))
     starts = starts.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     return starts, texts.select("doc_id", "row_key", "text")
