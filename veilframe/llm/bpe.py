@@ -113,9 +113,8 @@ class PieceCache:
     def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = CACHED) -> None:
         self.make, self.most, self.now, self.old = make, most, {}, {}
 
-    def join(self, lists: list[list[str]]) -> list[bytes]:
-        """The bytes of each list's pieces, joined."""
-        need = set().union(*lists)
+    def hold(self, need: set) -> None:
+        """Have all these pieces in `now`."""
         new = need.difference(self.now)
         if len(self.now) + len(new) > self.most:
             self.now, self.old, new = {}, self.now, need
@@ -126,6 +125,10 @@ class PieceCache:
             else:
                 self.now[x] = found
         self.now.update(zip(missing, self.make(missing)))
+
+    def join(self, lists: list[list[str]]) -> list[bytes]:
+        """The bytes of each list's pieces, joined."""
+        self.hold(set().union(*lists))
         get = self.now.__getitem__
         return [b"".join(map(get, x)) for x in lists]
 

@@ -25,6 +25,7 @@ import sys
 import uuid
 import zlib
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PieceCache, _slices, splitter
+from .bpe import PieceCache, _slices
 from .common import alone, kept, mix, new_folder, written
 
 GAMMA = 2  # bits a key of a level
@@ -154,12 +155,75 @@ def pieces_alone(model: dict) -> bool:
     return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and bpe.get("type") == "BPE" and plain and not whole
 
 
+#: Classes of a character in bpe.SPLIT: BLANK is U+0020, EDGE stands outside a text.
+OTHER, LETTER, NUMBER, SPACE, BLANK, EDGE = range(6)
+
+
+def classes(split: Callable[[str], list[tuple[str, tuple[int, int]]]]) -> np.ndarray:
+    """The class of each code point, as a pre-tokenizer of SPLIT sees it: its Unicode may be another than a Python library's."""
+    points = "".join(map(chr, [*range(0x20), *range(0x21, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]))  # no Unicode has letters, numbers or spaces elsewhere
+    out = np.full(0x110000, OTHER, np.uint8)
+    out[0x20] = BLANK
+    for _, (i, j) in split(points):
+        kind = next((k for k, x in ((LETTER, "a"), (NUMBER, "1"), (OTHER, ".")) if len(split(x + points[i])) == 1), SPACE)
+        out[np.frombuffer(points[i:j].encode("utf-32-le"), "<u4")] = kind
+    return out
+
+
+def cuts(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """The matches of SPLIT in nonempty texts by column: the byte each begins at (and the end of all), how many each text has, and the texts' bytes joined.
+
+    A match begins where the class changes, except after a blank, which belongs to what follows; at
+    the last white space before something else; and around the contractions, which count where their
+    apostrophe begins a match.
+    """
+    joined = "".join(texts)
+    raw = joined.encode("utf-8")
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    first = np.cumsum([0, *map(len, texts)])
+    kind = kinds[points]
+    left, right = np.empty_like(kind), np.empty_like(kind)
+    left[1:], right[:-1] = kind[:-1], kind[1:]
+    left[first[:-1]] = right[first[1:] - 1] = EDGE
+    blank = kind >= SPACE
+    start = np.where(blank, (left < SPACE) | (left == EDGE) | (right < SPACE), (left != kind) & (left != BLANK))
+    at = np.flatnonzero((points == ord("'")) & start & (right == LETTER))
+    if len(at):
+        more = np.append(points, np.zeros(2, points.dtype))
+        one, two = more[at + 1], more[at + 2]
+        short = np.isin(one, [ord(x) for x in "stmd"])
+        long = (two == ord("e")) & ((one == ord("r")) | (one == ord("v"))) | (one == ord("l")) & (two == ord("l"))
+        long &= right[at + 1] == LETTER
+        start[at[short | long] + 1] = False
+        ends = np.concatenate([at[short] + 2, at[long] + 3])
+        start[ends[ends < len(start)]] = True
+    begin = np.flatnonzero(start)
+    counts = np.diff(np.searchsorted(begin, first))
+    if len(raw) > len(joined):
+        begin = np.flatnonzero(np.frombuffer(raw, np.int8) >= -64)[begin]  # other bytes go on with a character
+    return np.append(begin, len(raw)), counts, raw
+
+
+def _alphabet() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u4")
+    out[shown] = shown
+    out[out == 0] = 256 + np.arange(256 - len(shown))
+    return out
+
+
+def _column(offsets: np.ndarray, raw: bytes) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
 class Encoder:
-    """The tokenizers library, called as encode(text, add_special_tokens=False).
+    """The tokenizers library, as encode(text, add_special_tokens=False) would give.
 
     A byte-level vocabulary encodes each match of its pattern by itself, so a text's ids are its
-    pieces' ids joined, and each distinct piece is encoded once while it stays cached. Texts with the
-    string of an added token, and all texts of other models, go through the library whole.
+    pieces' ids joined, and the library's model tokenizes each distinct piece once while it stays
+    cached. Pieces are told apart, looked up and joined by column. Texts with the string of an added
+    token, and all texts of other models, go through the library whole.
     """
 
     def __init__(self, model: str, width: int) -> None:
@@ -169,26 +233,46 @@ class Encoder:
         known = json.loads(model)
         self.tokenizer = Tokenizer.from_str(model)
         self.added = [x["content"] for x in known.get("added_tokens") or [] if x["content"]]
-        self.split, self.kind, self.alone = splitter(), {2: "H", 4: "I"}[width], pieces_alone(known)
+        self.kind, self.alone, self.alphabet = {2: "H", 4: "I"}[width], pieces_alone(known), _alphabet()
+        self.model = self.tokenizer.model
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets, where there is such a call
+        self.kinds = classes(self.tokenizer.pre_tokenizer.pre_tokenize_str) if self.alone else None
         self.cache = PieceCache(self.pieces)
 
-    def pieces(self, new: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(new), 5000):
-            for e in self.batch(new[at : at + 5000], add_special_tokens=False):
-                ids = array(self.kind, e.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                out.append(ids.tobytes())
-        return out
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self.kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self._bytes(self.batch([text], add_special_tokens=False)[0].ids)
+
+    def pieces(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each piece, straight from the library's model: an Encoding for each costs three times as much."""
+        shown = self.alphabet[np.frombuffer(b"".join(new), np.uint8)].tobytes().decode("utf-32-le")
+        ends = np.cumsum([0, *map(len, new)]).tolist()
+        return [self._bytes([x.id for x in self.model.tokenize(shown[i:j])]) for i, j in itertools.pairwise(ends)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if t and (not self.alone or any(x in t for x in self.added))]
-        given = set(whole)
-        out = self.cache.join([self.split(t) if t and i not in given else [] for i, t in enumerate(texts)])
-        for i in whole:
-            out[i] = self.pieces([texts[i]])[0]
+        out, some = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            if t and (not self.alone or any(x in t for x in self.added)):
+                out[i] = self.whole(t)
+            elif t:
+                some.append(i)
+        if not some:
+            return out
+        at, counts, raw = cuts([texts[i] for i in some], self.kinds)
+        found = _column(at, raw).dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.cache.hold(set(distinct))
+        made = list(map(self.cache.now.__getitem__, distinct))
+        ids = _column(np.cumsum([0, *map(len, made)]), b"".join(made)).take(found.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[np.cumsum([0, *counts])].tolist()
+        data = memoryview(ids.buffers()[2])
+        for i, j, k in zip(some, ends, ends[1:]):
+            out[i] = data[j:k].tobytes()
         return out
 
 
