@@ -40,11 +40,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str, records: int = 2000) -> DataFrame:
+def written(df: DataFrame, name: str, records: int = 2000, tasks: int | None = None) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back. Lost executors cost only a reread.
 
     While it is written, Python workers get at most so many records at once: rows hold whole texts or sets.
+    At most so many tasks write: each file of a local or remote store costs more than a few rows do.
     """
+    df = df if tasks is None else df.coalesce(tasks)
     spark = df.sparkSession
     path = new_folder(spark, name)
     before = spark.conf.get(_RECORDS)
@@ -124,14 +126,14 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """(node, component) of every endpoint of edges (u, v): the least node reachable.
 
     Large-star and small-star rounds until only stars are left; each round is grouped minima and
     equi-joins over two shuffles, written to the shared folder. Nothing is collected but whether a
     node has a lesser neighbour and others besides.
     """
-    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
+    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name, tasks=tasks)
     while True:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u").distinct()
         low = sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
@@ -140,7 +142,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = sym.where("v > u").join(low.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")), name)
+        e = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")), name, tasks=tasks)
     e = e.distinct()
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -26,6 +26,7 @@ once for each of its document's pairs, to the other one.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -45,6 +46,7 @@ CHUNK = 256  # documents of a large node that go to a Python worker as one, abou
 STAR = 256  # sets that meet one document's set in one place
 STRAYS = 1024  # outside the largest component; documents of a node with more are dealt out by rare shingles
 STRONG = 0.9  # share of the differences a link may have below which a candidate is taken for certain when one is chosen
+LIGHT, HEAVY = 32768, 2048  # class representatives for each task that writes a table of numbers, and one of sketches, sets or pairs
 _A = (np.random.default_rng(4).integers(1, 2**63, WIDTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = np.random.default_rng(5).integers(0, 2**63, WIDTH, dtype=np.uint64)
 _HASH = WordHash()
@@ -314,10 +316,10 @@ def _links(percent: int):
     return run
 
 
-def _sized(front: DataFrame) -> DataFrame:
+def _sized(front: DataFrame, tasks: int) -> DataFrame:
     """(node, rep, c): rows of nodes with company."""
     size = front.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-    return written(front.join(size, "node"), "sized")
+    return written(front.join(size, "node"), "sized", tasks=tasks)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -335,13 +337,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     known = feats.where("n > 0 AND doc_id IS NOT NULL")
     # Equal keys have equal sets, so any row's signature will do.
     reps = written(known.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sig", "sketch"))), "reps")
+    # As many tasks write a table as its documents ask for, at least some for each core.
+    count, cores = reps.count(), docs.sparkSession.sparkContext.defaultParallelism
+    light, heavy = max(2 * cores, math.ceil(count / LIGHT)), max(4 * cores, math.ceil(count / HEAVY))
     member = known.select("doc_id", "key").distinct().join(reps.select("key", "rep"), "key").select("doc_id", "rep")
     sketches = reps.select("rep", "n", "sketch")
     pairs, entry = "u long, v long, rank long", F.struct("rep", "n", "comp", "sketch")
 
     def branched(level: DataFrame) -> DataFrame:
         rows = level.select("node", "rep").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig")
-        return _sized(written(rows.mapInArrow(_branch(second), "node long, rep long"), "front"))
+        return _sized(written(rows.mapInArrow(_branch(second), "node long, rep long"), "front", tasks=heavy), light)
 
     def with_comp(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
         """Node rows with their component, before any link the document itself."""
@@ -351,7 +356,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         """Small nodes of two components or more as arrays of at most LEAF documents."""
         rows = with_comp(nodes, comp)
         if comp is not None:
-            rows = written(rows, "small")
+            rows = written(rows, "small", tasks=light)
             rows = rows.join(rows.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("node"), "node")
         return rows.join(sketches, "rep").groupBy("node").agg(F.collect_list(entry).alias("docs")).select("docs")
 
@@ -371,10 +376,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         salts = found.groupBy(F.col("v").alias("center")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
         legs = found.select(F.col("u").alias("rep"), F.col("v").alias("center")).join(salts, "center").select("rep", "center", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"))
         own = salts.select(F.col("center").alias("rep"), "center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(written(legs.unionByName(own), f"{name}-legs"), "rep").select("rep", "center", "salt", "text")
+        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(written(legs.unionByName(own), f"{name}-legs", tasks=light), "rep").select("rep", "center", "salt", "text")
         sets = texts.mapInArrow(_sets(k), "rep long, center long, salt int, shingles binary")
         there = sets.repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("rep") != F.col("center"))
-        return written(there.mapInArrow(_links(percent), "u long, v long"), f"{name}-links", records=256).distinct()
+        return written(there.mapInArrow(_links(percent), "u long, v long"), f"{name}-links", records=256, tasks=heavy).distinct()
 
     def apart(found: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs of two components, with these as cu and cv."""
@@ -384,12 +389,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
 
     def joined(links: DataFrame, comp: DataFrame, name: str) -> DataFrame:
         """The components with further links: those of the graph of components, carried over to the documents."""
-        links = written(apart(links, comp).select(F.col("cu").alias("u"), F.col("cv").alias("v")), f"{name}-apart")
+        links = written(apart(links, comp).select(F.col("cu").alias("u"), F.col("cv").alias("v")), f"{name}-apart", tasks=light)
         if links.isEmpty():
             return comp
-        to = components(links, name).withColumnRenamed("node", "comp")
+        to = components(links, name, light).withColumnRenamed("node", "comp")
         rows = comp.unionByName(links.select(F.explode(F.array("u", "v")).alias("rep")).distinct().withColumn("comp", F.col("rep"))).distinct()
-        return written(rows.join(to, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")), f"{name}-comp")
+        return written(rows.join(to, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")), f"{name}-comp", tasks=light)
 
     def rare(rest: DataFrame, comp: DataFrame) -> DataFrame:
         """Rows that meet by rare shingles, as met() takes them.
@@ -398,32 +403,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         Shingles of one document come first and are only counted.
         """
         texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("part"), "text").join(rest.select("rep").distinct(), "rep", "left_semi")
-        tokens = written(texts.mapInArrow(_shingles(k), "rep long, part long, n long, node long"), "shingles")
+        tokens = written(texts.mapInArrow(_shingles(k), "rep long, part long, n long, node long"), "shingles", tasks=heavy)
         often = tokens.groupBy("node").agg(F.count("*").alias("f")).where("f > 1")
         sets = tokens.join(often, "node").groupBy("rep", "part", "n").agg(F.sort_array(F.collect_set(F.struct("f", "node"))).alias("s"))
         first = sets.selectExpr("rep", "s", "n - size(s) AS own", f"n - ({percent} * n + 99) div 100 + 1 AS probe", f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1 AS held")
         first = first.selectExpr("rep", "held - own AS held", "posexplode(slice(s, 1, int(greatest(probe - own, 0)))) AS (at, x)").groupBy("rep", F.col("x.node").alias("node")).agg(F.bool_or(F.col("at") < F.col("held")).alias("held"))
         some = first.groupBy("node").agg(F.count("*").alias("c"), F.bool_or("held").alias("any")).where("c > 1 AND any").select("node")
-        rows = written(with_comp(first.join(some, "node"), comp), "rare")
+        rows = written(with_comp(first.join(some, "node"), comp), "rare", tasks=heavy)
         most = F.struct("k", "comp")
         kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.count_if("held").alias("h")).groupBy("node").agg(F.max_by("comp", most).alias("most"), F.max_by("h", most).alias("inside"), (F.sum("h") - F.max_by("h", most)).alias("outside"), F.count("*").alias("comps"), F.sum("k").alias("c")).where("comps > 1")
-        rows = written(rows.join(kinds, "node"), "rare-open")
+        rows = written(rows.join(kinds, "node"), "rare-open", tasks=heavy)
         no, of = F.lit(False), ("rep", "comp", "c")
         outside = rows.select(F.xxhash64("node", F.lit(1)).alias("node"), *of, F.col("outside").alias("n_some"), (~no).alias("meets"), F.expr("held AND comp <> most").alias("some"))
         return outside.unionByName(rows.select(F.xxhash64("node", F.lit(2)).alias("node"), *of, F.col("inside").alias("n_some"), F.expr("comp <> most").alias("meets"), F.expr("held AND comp = most").alias("some")))
 
     def alike_pairs(comp: DataFrame, mode: int) -> DataFrame:
         """Candidates of two components in all nodes, by the components so far."""
-        rows = written(with_comp(large, comp), "large")
+        rows = written(with_comp(large, comp), "large", tasks=light)
         kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("strays")).where("strays > 0")
-        rows = written(rows.join(kinds, "node"), "open")
+        rows = written(rows.join(kinds, "node"), "open", tasks=light)
         rest = rows.where(F.col("strays") > STRAYS)
         rows = rows.where(F.col("strays") <= STRAYS).select("node", "rep", "comp", "c", F.col("strays").alias("n_some"), F.lit(True).alias("meets"), F.expr("comp <> most").alias("some"))
         if not rest.isEmpty():
             rows = rows.unionByName(rare(rest, comp))
         return grouped(small, comp).mapInArrow(_compare(percent, mode), pairs).unionByName(met(rows, mode))
 
-    level, small = _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long")), []
+    level, small = _sized(reps.select("rep", "sig").mapInArrow(_roots(trees, second), "node long, rep long"), light), []
     for _ in range(LEVELS - 1):
         small.append(level.where(F.col("c") <= LEAF))
         level = branched(level.where(F.col("c") > LEAF))
@@ -433,13 +438,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     sampled = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / BLOCK)) == 0
     tried = met(with_comp(large, None).select("*", F.lit(0).alias("n_some"), F.lit(True).alias("meets"), sampled.alias("some")), FIRST)
     found = grouped(small, None).mapInArrow(_compare(percent, FIRST), pairs).unionByName(tried)
-    links = confirmed(written(found, "first", records=64).groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v")), "first")
-    comp = written(components(links, "stars").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comp")
-    some = apart(written(alike_pairs(comp, ONE), "some", records=64).distinct(), comp)
-    some = written(some.groupBy("cu", "cv").agg(F.min_by(F.struct("u", "v"), F.struct("rank", "u", "v")).alias("p")).select("p.u", "p.v"), "second")
+    links = confirmed(written(found, "first", records=64, tasks=heavy).groupBy("u").agg(F.min_by("v", F.struct("rank", "v")).alias("v")), "first")
+    comp = written(components(links, "stars", light).select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comp", tasks=light)
+    some = apart(written(alike_pairs(comp, ONE), "some", records=64, tasks=heavy).distinct(), comp)
+    some = written(some.groupBy("cu", "cv").agg(F.min_by(F.struct("u", "v"), F.struct("rank", "u", "v")).alias("p")).select("p.u", "p.v"), "second", tasks=light)
     if not some.isEmpty():
         comp = joined(confirmed(some, "second"), comp, "second")
-        last = written(written(alike_pairs(comp, ALL), "rest", records=64).select("u", "v").distinct().join(some, ["u", "v"], "left_anti"), "last")
+        last = written(written(alike_pairs(comp, ALL), "rest", records=64, tasks=heavy).select("u", "v").distinct().join(some, ["u", "v"], "left_anti"), "last", tasks=heavy)
         if not last.isEmpty():
             comp = joined(confirmed(last, "last"), comp, "last")
     # A document with several rows of different text belongs to several classes: its rows join them.
