@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import glob
+import time
 
-from veilframe.llm import near_dedup
+from veilframe.llm import common, near_dedup, substring_dedup
 from veilframe.llm.common import shared_dir
 
 
@@ -56,3 +57,23 @@ def test_small_tables_are_written_by_few_tasks(spark):
     files = {t: len(glob.glob(f"{t}/part-*")) for t in set(glob.glob(f"{folder}/*")) - old}
     most = 4 * spark.sparkContext.defaultParallelism
     assert len(files) > 10 and not {t: n for t, n in files.items() if n > most and "/reps-" not in t and "/features-" not in t}
+
+
+def test_substring_steps_leave_no_files(spark):
+    """Shuffle files and tables of ended steps are gone before the last step begins: they were what the disk went to."""
+    rows = [(i if i % 50 else None, " ".join(f"s{i // 2}x{j}" for j in range(300)) + f" own{i}") for i in range(400)]
+    folder = f"{shared_dir(spark).removeprefix('file:').rstrip('/')}/veilframe/{spark.sparkContext.applicationId}"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f.getName(): f.length() for f in map(disk.getAllFiles().apply, range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+
+    tables, files = set(glob.glob(f"{folder}/*")), set(shuffled())
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 35)
+    end = time.time() + 10
+    while (left := sum(n for f, n in shuffled().items() if f not in files)) > 100_000 and time.time() < end:
+        time.sleep(0.2)  # executors are told to remove them, not waited for
+    assert left <= 100_000  # sums of a few rows
+    assert {t.rsplit("/", 1)[1].split("-")[0] for t in set(glob.glob(f"{folder}/*")) - tables} == {"candidates", "starts"}
+    assert spark.conf.get(common._SWEEP, None) is None
+    assert [(r.n_words, r.n_removed) for r in got.collect()] == [(301, 300)] * 400

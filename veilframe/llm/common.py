@@ -38,26 +38,43 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, records: int = 2000, tasks: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, records: int = 2000, tasks: int | None = None, sweep: bool = False) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back. Lost executors cost only a reread.
 
     While it is written, Python workers get at most so many records at once: rows hold whole texts or sets.
     At most so many tasks write: each file of a local or remote store costs more than a few rows do.
+    With sweep the shuffle files of the write go as soon as it has ended (from Spark 4.1), not when the
+    driver happens to collect its garbage: nothing reads them any more.
     """
     df = df if tasks is None else df.coalesce(tasks)
     spark = df.sparkSession
     path = new_folder(spark, name)
     before = spark.conf.get(_RECORDS)
+    swept = spark.conf.get(_SWEEP, None)
     spark.conf.set(_RECORDS, str(min(records, int(before)) if int(before) > 0 else records))
+    if sweep:
+        spark.conf.set(_SWEEP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_RECORDS, before)
+        if sweep:
+            spark.conf.unset(_SWEEP) if swept is None else spark.conf.set(_SWEEP, swept)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:  # all are in one folder; an empty table may have none
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(file)).getParent()
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what this application has left in the shared folder; call it once no result is read any more."""
     jvm = spark.sparkContext._jvm

@@ -15,6 +15,9 @@ strings, and no bucket of unbounded size is gathered in one task.
 
 Joins deal the rows of a heavy key (a minimiser, string or window with over 1/HEAVY of a table's
 rows, so there are fewer than HEAVY) over SALTS parts; all rows of other keys meet as usual.
+
+Each step is written to the shared folder. Its shuffle files go when it has ended, and a step's table
+goes once the steps that read it have ended, so the disk holds two or three steps at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, kept, rolling, words, written
+from .common import WordHash, dropped, kept, rolling, words, written
 
 MINIMISER = 12
 KINDS = 4096  # different packed strings of a bucket that one task takes apart
@@ -183,19 +186,23 @@ def repeated_windows(docs: DataFrame, width: int = 50, m: int = MINIMISER) -> tu
     if width < m:
         m = width
     rows = _keyed(docs)
-    scan = written(rows.mapInArrow(_scan(width, m), "h long, doc_id long, row_key long, at int, c int"), "minimisers")
-    twice = written(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    scan = written(rows.mapInArrow(_scan(width, m), "h long, doc_id long, row_key long, at int, c int"), "minimisers", sweep=True)
+    twice = written(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice", sweep=True)
     pairs = _dealt(scan, twice.select("h"), ["h"], twice.where(_heavy("n", scan.count())), ["doc_id", "row_key", "at"])
-    found = pairs.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "c", "h")).alias("found"))
+    found = written(pairs.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "c", "h")).alias("found")), "found", sweep=True)
+    dropped(scan, twice)
     here = found.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "found")
-    texts = written(rows.join(here, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key"))).select("doc_id", "row_key", "text", "found"), "candidates")
+    texts = written(rows.join(here, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key"))).select("doc_id", "row_key", "text", "found"), "candidates", sweep=True)
+    dropped(found)
     packs = texts.mapInArrow(_pack(width), "h long, packed binary, doc_id long, row_key long, at int, c int")
     digest = F.unhex(F.sha2("packed", 256)).alias("key")
-    strings = written(packs.groupBy("h", "packed").agg(F.count("*").alias("n"), F.min("c").alias("c")).select("h", "packed", "n", "c", digest, F.length("packed").alias("size")), "packed")
+    strings = written(packs.groupBy("h", "packed").agg(F.count("*").alias("n"), F.min("c").alias("c")).select("h", "packed", "n", "c", digest, F.length("packed").alias("size")), "packed", sweep=True)
     of = strings.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes"))
     count, all_places = strings.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     kinds = _dealt(strings, of, ["h"], of.where(_heavy("kinds", count)), ["key"]).where("kinds > 1 OR n > 1")
-    kinds = written(kinds.withColumn("packed", F.expr("IF(kinds > 1, packed, NULL)")), "several")
+    kinds = written(kinds.withColumn("packed", F.expr("IF(kinds > 1, packed, NULL)")), "several", sweep=True)
+    often = written(strings.where(_heavy("n", all_places)).select("h", "key"), "often")
+    dropped(strings)
     whole = kinds.where("kinds = 1").select("h", "key", F.expr("sequence(0, c - 1)").alias("offs"))
     small = F.expr(f"kinds <= {KINDS} AND bytes <= {BUCKET_BYTES}")
     few = kinds.where("kinds > 1").where(small).select("h", "packed", "n", "key").repartition("h").sortWithinPartitions("h")
@@ -204,13 +211,14 @@ def repeated_windows(docs: DataFrame, width: int = 50, m: int = MINIMISER) -> tu
     w = F.split(F.col("packed").cast("string"), " ", -1)
     windows = large.select("h", "key", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.array_join(F.slice(w, i, width), " "))).alias("off", "window"))
     sums = windows.groupBy("h", "window").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).where("times > 1")
-    sums = written(sums.select("h", "window", "rows"), "sums")
+    sums = written(sums.select("h", "window", "rows"), "sums", sweep=True)
     total = large.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     parts = _dealt(windows, sums.drop("rows"), ["h", "window"], sums.where(_heavy("rows", total)), ["key", "off"]).groupBy("h", "key").agg(F.collect_set("off").alias("offs"))
     verdict = whole.unionByName(few).unionByName(parts)
-    places = _dealt(packs.select("h", digest, "doc_id", "row_key", "at"), verdict, ["h", "key"], strings.where(_heavy("n", all_places)), ["doc_id", "row_key", "at"])
+    places = _dealt(packs.select("h", digest, "doc_id", "row_key", "at"), verdict, ["h", "key"], often, ["doc_id", "row_key", "at"])
     starts = places.select("doc_id", "row_key", F.explode(F.transform("offs", lambda x: x + F.col("at"))).alias("start"))
-    starts = starts.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    starts = written(starts.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("start")).alias("starts")), "starts", sweep=True)
+    dropped(kinds, often, sums)
     return starts, texts.select("doc_id", "row_key", "text")
 
 
@@ -223,7 +231,6 @@ def substring_dedup(docs: DataFrame, width: int = 50, m: int = MINIMISER) -> Dat
     repeated doc_ids are taken each for itself. An empty table gives an empty result.
     """
     starts, texts = repeated_windows(docs, width, m)
-    starts = written(starts, "starts")
     on = lambda x: F.col("doc_id").eqNullSafe(x["id"]) & (F.col("row_key") == x["key"])
     ends = starts.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
